@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kelpie.llm import bpe
-from kelpie.llm.common import read
+from kelpie.llm import bpe, pii, rules
+from kelpie.llm.common import durable, read
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the candidates are few, so they are written once and both the counts and the result come from them
+    spans = durable(pii.candidates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans"))
+    out = spans.withColumn("_a", pii.accepted(pii.learn(spans))).withColumn("_b", F.filter("_a", lambda x: x.base))
+    counts = [F.size(F.filter("_b", lambda x, k=kind: x.kind == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("_b")), 256).alias("base_sha256"), pii.listed(F.col("_a")).alias("spans"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("_s")
+    out = rules.judged(docs, rules.learn(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
+QUERIES = {"op5_pii": op5_pii, "op7_bpe": op7_bpe, "op8_rules": op8_rules}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,55 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from kelpie.llm import pii
+
+from .helpers import ODD, SF, frame
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def brute(text):
+    n = lambda s: sum("0" <= c <= "9" for c in s)
+    checks = (("email", EMAIL, lambda s: True), ("ip", IP, lambda s: all(int(p) <= 255 for p in s.split("."))), ("card", CARD, lambda s: 12 <= n(s) <= 19 and luhn(s)), ("phone", PHONE, lambda s: 9 <= n(s) <= 15))
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(checks) for m in re.finditer(p, text or "") if ok(m.group()))
+
+
+def test_base_spans_match_plain_patterns(spark):
+    rng = random.Random(3)
+    made = ["".join(rng.choice(["a", "7", "4111", ".", "@", "-", " ", "+1", "(", "é", "255", "300", "b@c.d", "😀", "4111 1111 1111 1111", "+1 (317) 555-2213"]) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    texts = [*ODD, *made, *[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]]
+    df = pii.candidates(frame(spark, texts))
+    base = F.filter("_a", lambda x: x.base)
+    got = df.withColumn("_a", pii.accepted(pii.learn(df))).select("doc_id", pii.listed(base).alias("b"), pii.listed(F.col("_a")).alias("s")).collect()
+    for r in got:
+        assert r.b == ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in brute(texts[r.doc_id]))
+        assert set(r.b.split(",")) - {""} <= set(r.s.split(","))
+
+
+def test_secrets_are_added_and_redaction_takes_effect(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    left = out.where(F.col("text").rlike("password=[0-9a-f]{8}") | F.col("text").contains("@mail")).count()
+    assert left == 0
+    assert out.where(F.col("text").contains("[EMAIL]")).count() > 0
+    untouched = docs.where(~F.col("text").rlike("[0-9@]")).join(out.withColumnRenamed("text", "t2"), "doc_id").where("text <> t2").count()
+    assert untouched == 0
+
+
+def test_odd_rows(spark):
+    df = frame(spark)
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[0] is None and out[1] == "" and out[15] == "mail [EMAIL] now, or [PHONE]; ip [IP], card [CARD]."
+    assert pii.redact(df.limit(0)).count() == 0
+    assert pii.redact(spark.createDataFrame([("a.b@" + "c." * 20000 + "d " + "1-" * 50000 + "1",)], "text string")).count() == 1

@@ -194,6 +194,10 @@ def accepted(model: dict[str, list[float]], spans: str = "_spans") -> Column:
     return F.sort_array(F.transform(taken, lambda x: F.struct(x.start.alias("start"), order(x.kind).alias("rank"), x.end.alias("end"), x.kind.alias("kind"), x.base.alias("base"))))
 
 
+def of_kind(kind: str):
+    return lambda x: x.kind == kind
+
+
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import bpe, pii, rules
+from kelpie.llm import bpe, minhash, pii, rules
 from kelpie.llm.common import durable, read
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the candidates are few, so they are written once and both the counts and the result come from them
     spans = durable(pii.candidates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans"))
@@ -28,5 +33,5 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
 
 
-QUERIES = {"op5_pii": op5_pii, "op7_bpe": op7_bpe, "op8_rules": op8_rules}
+QUERIES = {"op4_minhash": op4_minhash, "op5_pii": op5_pii, "op7_bpe": op7_bpe, "op8_rules": op8_rules}
 ORACLES: dict[str, str] = {}

@@ -49,11 +49,9 @@ class Encoder(dict):
         self.leaf = leaf
         self.token = {}
         self.decoded: dict[bytes, bytes] = {}
-        pre = self.tokenizer.pre_tokenizer
-        norm = self.tokenizer.normalizer
         # parts may be encoded apart only where white space never enters a token
-        self.apart = pre is not None and all((pre.pre_tokenize_str(norm.normalize_str(a + gap + b) if norm else a + gap + b) or [("", 0)])[0][0] in self._firsts(pre, norm, a) for a, b in (("a", "b"), ("a1", ".b"), ("'", "s")) for gap in (" ", "\n"))
-
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.apart = all(ids(a + gap + b) == ids(a) + ids(b) for a, b in (("a", "b"), ("a1", ".b"), ("'", "s")) for gap in (" ", "\n", " \n "))
         self.words: dict[str, bytes] = {}
         self.bytes = self._byte_letters() if self._known(json.loads(self.tokenizer.to_str())) else None
 
@@ -78,10 +76,6 @@ class Encoder(dict):
         ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
         return ids
 
-    @staticmethod
-    def _firsts(pre, norm, a: str) -> set[str]:
-        return {x[0] for x in pre.pre_tokenize_str(norm.normalize_str(a) if norm else a)[:1]}
-
     def __missing__(self, part: str) -> bytes:
         if len(self) >= TABLE:
             self.clear()

@@ -14,6 +14,7 @@ from kelpie.config import DEFAULT, Settings
 from kelpie.functions.text import agent_step, casual_reply, is_casual, strip, triple_text
 from kelpie.functions.udf import chat
 from kelpie.operators.dense import embed_queries, vector_search
+from kelpie.operators.durable import cut
 from kelpie.operators.graph import triple_search
 
 SYSTEM = "You answer technical questions from the context below. Cite each fact with [N], the number of its passage, or with [KG] if it comes from the graph. Say what is missing rather than guess. End with a list of sources."
@@ -167,8 +168,9 @@ def extract(chunks: DataFrame, model: Callable[[list[dict]], str], s: Settings =
 def run_agent(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, model: Callable[[list[dict]], str], encode: Callable | None = None, s: Settings = DEFAULT) -> DataFrame:
     """(query_id, query, answer, iterations, steps, source_pages, triples_used).
 
-    Each round is one batch over the queries that are still open: model, parse, tools, observation. The rounds are bounded, so the loop is a
-    plan of fixed depth; what is still open after the last is asked to finish with all that was found. Passages are numbered on across rounds.
+    Each round is one batch over the queries that are still open: model, parse, tools, observation. A round is written to the checkpoint folder,
+    so the model is asked once for it and plans stay small; what is still open after the last is asked to finish with all that was found.
+    Passages are numbered on across rounds.
     """
     empty_steps = F.array().cast("array<struct<thought:string,action:string,action_input:string,observation:string>>")
     found_type = "array<struct<n:int,file:string,page:int,text:string>>"
@@ -180,8 +182,8 @@ def run_agent(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes:
     for k in range(s.agent_rounds):
         state = state.withColumn("_open", F.coalesce(F.col("answer"), F.lit("")) == "" if k else F.lit(True))
         done, live = state.where(~F.col("_open")).drop("_open"), state.where("_open").drop("_open")
-        live = live.withColumn("_said", ask(F.col("messages")))
-        live = live.withColumn("_step", agent_step(F.col("_said"))).withColumn("_do", F.lower("_step.action")).withColumn("_in", F.col("_step.action_input")).persist()
+        live = cut(live.withColumn("_said", ask(F.col("messages"))))
+        live = live.withColumn("_step", agent_step(F.col("_said"))).withColumn("_do", F.lower("_step.action")).withColumn("_in", F.col("_step.action_input"))
         want = live.where("_do = 'vector_search'").select("query_id", F.col("_in").alias("query"))
         hits = vector_search(vectors, embed_queries(want, encode), s.agent_chunks).join(chunks.select("chunk_id", "source_file", "page_number", "text"), "chunk_id")
         hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "source_file", "page_number", "text"))).alias("_hits"))
@@ -204,7 +206,7 @@ def run_agent(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes:
             F.concat("steps", F.array(F.struct("_step.thought", "_step.action", "_step.action_input", F.col("_seen").alias("observation")))).alias("steps"), F.concat("found", new.cast(found_type)).alias("found"),
             F.concat("facts", F.coalesce("_facts", F.array().cast("array<string>"))).alias("facts"), F.when(over, F.col("_in")).alias("answer"), F.lit(k + 1).alias("iterations"),
         )
-        state = done.unionByName(live)
+        state = cut(done.unionByName(live))
     evidence = F.concat(
         F.lit("No rounds are left. Give your best answer now from what was found.\n\nRetrieved chunks:\n"),
         F.array_join(F.transform("found", lambda x: F.format_string("[%d] %s p%d: %s", x.n, x.file, x.page, F.substring(x.text, 1, s.finish_cap))), "\n\n"),

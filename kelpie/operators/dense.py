@@ -40,6 +40,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFra
     import numpy as np
     import pyarrow as pa
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     kq, kc = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
     ids = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     n = ids.count()
@@ -63,7 +66,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFra
                     at = np.nonzero(s >= cut)  # all that tie with the k-th stay, as ids decide later
                 else:
                     at = (np.repeat(np.arange(len(q)), top.shape[1]), top.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at[0]]), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at[0]], id_type), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "chunk_id", "score"])
 
         found = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id {kq}, chunk_id {kc}, score double")
         out = found if out is None else out.unionByName(found)

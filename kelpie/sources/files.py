@@ -104,7 +104,8 @@ def load_chunks(spark: SparkSession, path: str, level: str | None = None) -> Dat
             raise
         return spark.createDataFrame([], schemas.CHUNKS)
     df = df if level is None else df.where(F.col("content_level") == level)
-    return df.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in df.columns if c != "chunk_id"]), F.monotonically_increasing_id()).alias("_r")).select("chunk_id", "_r.*")
+    rest = F.struct(*[c for c in df.columns if c != "chunk_id"])
+    return df.select("chunk_id", rest.alias("_r"), F.monotonically_increasing_id().alias("_at")).groupBy("chunk_id").agg(F.max_by("_r", "_at").alias("_r")).select("chunk_id", "_r.*")
 
 
 def save(df: DataFrame, path: str) -> None:

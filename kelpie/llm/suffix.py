@@ -3,11 +3,12 @@
 Which bytes lie in a string of `least` bytes that also starts elsewhere? Documents are cut so that no string is lost:
 of the grams in each window of `least` bytes, the one with the smallest hash is an anchor. Equal windows hold
 equal anchors at equal places, so both lie within the segments around these anchors (at most 2 * least - gram
-bytes). Segments meet by anchor. Where all segments of an anchor are equal, they are repeated as they are. Where they
-differ, each different one goes once into a collection whose transform is built by columns: every round puts one more symbol
-of each segment in front, merges the new suffixes into the transform and their common prefixes, and writes both
-sequentially to external files in the task's temporary folder. Suffixes that share `least` bytes with a
-neighbour, from another place, start a repeated string.
+bytes), at the same distance from the anchor. Segments meet by anchor. Where all segments of an anchor are equal, they are repeated as
+they are. Where they differ, each different one goes once into a collection. Its segments are aligned at their anchors, and the transform
+is built by columns from the last to the first: every round puts one more symbol of each segment in front of its suffix, which moves
+the suffix to its place among those that start in the same column (suffixes of other columns can't hold the same window and are
+left out), and brings the common prefixes of neighbours up to date. Symbols, order and common prefixes lie in external files of the task's temporary
+folder that each round reads and writes from beginning to end. Suffixes that share `least` bytes with a neighbour start a repeated string.
 
 Rows are told apart by key and text; equal rows (repeated key and text) are repeats of each other. Null texts are
 empty and have no spans. Bytes are UTF-8. No anchor is dropped: a hot one is counted by partial aggregation, its
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import blocks, column_bytes, discard, durable, mix
 
 #: Segments of one collection, unless one anchor alone has more.
-COLLECTION = 1500
+COLLECTION = 8192
 _BASE = 0x9E3779B97F4A7C15
 _TABLES: list[np.ndarray] = []
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -115,101 +116,77 @@ def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
 # ---------------------------------------------------------------- the transform, column by column
 
 
-class External:
-    """An array that lies in a file; every round reads it once and writes its successor."""
+class Collection:
+    """Aligned segments in external files, column by column; 0 stands where a segment has no symbol.
 
-    def __init__(self, folder: str, name: str, first: np.ndarray):
-        self.paths, self.turn = [os.path.join(folder, f"{name}{k}") for k in (0, 1)], 0
-        first.tofile(self.paths[0])
+    Symbols are bytes plus 1 (UTF-8 has no byte 255). Memory holds a block of rows while they come in, and then a few numbers a row.
+    """
+
+    def __init__(self, folder: str, width: int, block: int = 4096):
+        self.folder, self.width, self.block = folder, width, block
+        self.rows, self.files, self.held = 0, [], np.zeros((block, width), np.uint8)
+
+    def add(self, at: int, text: bytes) -> None:
+        """A segment whose first symbol stands in column `at`."""
+        k = self.rows % self.block
+        self.held[k] = 0
+        self.held[k, at : at + len(text)] = np.frombuffer(text, np.uint8) + np.uint8(1)
+        self.rows += 1
+        if k + 1 == self.block:
+            self._write(self.block)
+
+    def _write(self, n: int) -> None:
+        self.files.append((os.path.join(self.folder, f"c{len(self.files)}"), n))
+        self.held[:n].T.tofile(self.files[-1][0])
 
-    def read(self) -> np.ndarray:
-        return np.fromfile(self.paths[self.turn], np.uint8)
+    def close(self) -> None:
+        if self.rows % self.block:
+            self._write(self.rows % self.block)
 
-    def write(self, x: np.ndarray) -> None:
-        self.turn ^= 1
-        x.tofile(self.paths[self.turn])
+    def column(self, j: int) -> np.ndarray:
+        return np.concatenate([np.fromfile(f, np.uint8, count=n, offset=j * n) for f, n in self.files])
 
 
-def transform(strings: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """BWT and longest common prefixes (capped at most <= 255) of the collection, and for its suffixes the string and the start.
+def rounds(c: Collection, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From the last column to the first: (column, rows in the order of their suffixes from there on, common prefix with the row before).
 
-    Symbols are ranks of the bytes that occur, from 1; 0 ends a string. UTF-8 uses fewer than 255 byte values.
+    Suffixes go on through the empty places behind a segment; common prefixes are capped at most <= 255.
     """
-    m, sizes = len(strings), np.array([len(s) for s in strings])
-    table = np.zeros(256, np.uint8)
-    used = np.unique(np.frombuffer(b"".join(strings), np.uint8))
-    table[used] = np.arange(1, len(used) + 1)
-    columns = np.zeros((m, int(sizes.max()) + 1), np.uint8)  # aligned at the end: column 0 holds the last symbols
-    for i, s in enumerate(strings):
-        columns[i, : len(s)] = table[np.frombuffer(s, np.uint8)[::-1]]
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = External(folder, "bwt", columns[:, 0]), External(folder, "lcp", np.zeros(m, np.uint8))
-        at, live = np.arange(m), np.flatnonzero(sizes > 0)
-        for j in range(1, columns.shape[1]):
-            b, lc = bwt.read(), lcp.read()
-            t = len(b)
-            order = np.argsort(b, kind="stable")
-            rank = np.empty(t, np.int64)
-            rank[order] = np.arange(t)
-            p = at[live]
-            r = rank[p]
-            shift = m - int(np.searchsorted(b[order], 1))  # suffixes that start with the end sign come first
-            new = r + shift
-            # common prefixes with the neighbours that start with the same symbol
-            before, after = order[r - 1], order[np.minimum(r + 1, t - 1)]
-            same_b, same_a = (r > 0) & (b[before] == b[p]), (r + 1 < t) & (b[after] == b[p])
-            padded = np.append(lc, np.uint8(0))
-            by = np.argsort(p)
-            low_b, low_a = np.zeros(len(p), np.uint8), np.zeros(len(p), np.uint8)
-            for same, left, right, out in ((same_b, before, p, low_b), (same_a, p, after, low_a)):
-                k = by[same[by]]
-                if len(k):
-                    pairs = np.empty(2 * len(k), np.int64)
-                    pairs[::2], pairs[1::2] = left[k] + 1, right[k] + 1
-                    out[k] = np.minimum(np.minimum.reduceat(padded, pairs)[::2], most - 1) + 1
-            size = t + len(p)
-            old = np.ones(size, bool)
-            old[new] = False
-            b2, l2 = np.empty(size, np.uint8), np.empty(size, np.uint8)
-            b2[old], l2[old] = b, lc
-            b2[new] = columns[live, j]
-            l2[new] = low_b
-            l2[new[same_a] + 1] = low_a[same_a]
-            bwt.write(b2)
-            lcp.write(l2)
-            at[live] = new
-            # places move on as others are put in: only the last suffix of each string counts, and it has just been put in
-            live = live[sizes[live] > j]
-        b, lc = bwt.read(), lcp.read()
-    order = np.argsort(b, kind="stable")
-    rank = np.empty(len(b), np.int64)
-    rank[order] = np.arange(len(b)) + m - int((b == 0).sum())
-    string, start = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
-    place, ids = np.arange(m), np.arange(m)
-    for j in range(columns.shape[1]):
-        ok = sizes[ids] >= j
-        place, ids = place[ok], ids[ok]
-        string[place], start[place] = ids, sizes[ids] - j
-        more = sizes[ids] > j
-        place, ids = rank[place[more]], ids[more]
-    return b, lc, string, start
-
-
-def repeated_starts(strings: list[bytes], doc: np.ndarray, first: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each segment (of document `doc`, from its byte `first` on): starts of `least` bytes that start at another place too."""
-    _, lc, string, start = transform(strings, least)
-    run = np.cumsum(lc < least)
-    long = np.array([len(s) for s in strings])[string] - start >= least
-    run, string, start = run[long], string[long], start[long]
-    places = np.stack([run, doc[string], first[string] + start])
-    different = np.unique(places, axis=1)
-    many = np.bincount(different[0], minlength=int(run.max(initial=0)) + 1) > 1
-    hit = many[run]
-    string, start = string[hit], start[hit]
-    by = np.lexsort((start, string))
-    string, start = string[by], start[by]
-    cut = np.searchsorted(string, np.arange(len(strings) + 1))
-    return [start[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    order_file, lcp_file = os.path.join(c.folder, "order"), os.path.join(c.folder, "lcp")
+    np.arange(c.rows, dtype=np.int32).tofile(order_file)
+    np.full(c.rows, most, np.uint8).tofile(lcp_file)  # all empty suffixes are alike
+    for j in range(c.width - 1, -1, -1):
+        order, lcp = np.fromfile(order_file, np.int32), np.fromfile(lcp_file, np.uint8)
+        symbol = c.column(j)[order]  # the transform: the symbol in front of each suffix, in their order
+        to = np.argsort(symbol, kind="stable")
+        again = symbol[to]
+        same = np.flatnonzero(again[1:] == again[:-1]) + 1
+        new = np.zeros(c.rows, np.uint8)
+        if len(same):
+            # neighbours with the same symbol share one more than the least prefix between their old places
+            pairs = np.empty(2 * len(same), np.int64)
+            pairs[::2], pairs[1::2] = to[same - 1] + 1, to[same] + 1
+            new[same] = np.minimum(np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[::2], most - 1) + 1
+        order, lcp = order[to], new
+        order.tofile(order_file)
+        lcp.tofile(lcp_file)
+        yield j, order, lcp
+
+
+def repeated_starts(c: Collection, first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """(row, column) pairs: where a string of `least` symbols starts that another row has in the same column. first, last: each row's columns."""
+    out = [np.zeros((0, 2), np.int64)]
+    for j, order, lcp in rounds(c, least):
+        if j + least > c.width:
+            continue
+        tied = lcp >= least
+        hit = tied.copy()
+        hit[:-1] |= tied[1:]
+        rows = order[hit]
+        rows = rows[(first[rows] <= j) & (j + least <= last[rows])]
+        if len(rows):
+            out.append(np.stack([rows, np.full(len(rows), j)], 1))
+    return np.concatenate(out)
 
 
 def as_spans(starts: np.ndarray, least: int) -> np.ndarray:
@@ -231,28 +208,44 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.maximum.reduceat(spans[:, 1], first)], 1)
 
 
-def _collections(batches, least: int):
-    """Rows (anchor, segment, n, doc, first, bytes) in order of anchor and segment, dealt into collections of whole anchors."""
-    held: list[tuple] = []
-    last = None
+def _collections(batches, least: int, gram: int):
+    """Rows (anchor, segment, first, at, bytes) in order of anchor and segment, dealt into collections of whole anchors.
+
+    at is the byte of the segment at which the anchor stands.
+    """
+    last, left = None, least - gram
+    folder = c = None
+    keys: list[tuple] = []
 
     def work():
-        strings, unit = [h[4] for h in held], {d: i for i, d in enumerate(dict.fromkeys(h[3] for h in held))}
-        found = repeated_starts(strings, np.array([unit[h[3]] for h in held]), np.array([h[5] for h in held]), least) if len(held) > 1 or held[0][2] > 1 else [np.zeros(0, np.int64)]
-        rows = [(h[0], h[1], as_spans(s, least)) for h, s in zip(held, found, strict=True) if len(s)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].astype(np.int64).tobytes() for r in rows], pa.binary())], names=["anchor", "segment", "spans"])
-
-    for b in batches:
-        for anchor, segment, n, doc, first, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if last == (anchor, segment):
-                continue  # an equal row of documents brought it again
-            if len(held) >= COLLECTION and last[0] != anchor:
-                yield work()
-                held = []
-            last = anchor, segment
-            held.append((anchor, segment, n, doc, text, first))
-    if held:
-        yield work()
+        c.close()
+        begin = np.array([k[2] for k in keys])
+        found = repeated_starts(c, begin, np.array([k[3] for k in keys]), least)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        cut = np.searchsorted(found[:, 0], np.arange(len(keys) + 1))
+        rows = [(k[0], k[1], as_spans(found[x:y, 1] - k[2], least).astype(np.int64).tobytes()) for k, x, y in zip(keys, cut[:-1].tolist(), cut[1:].tolist(), strict=True) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["anchor", "segment", "spans"])
+
+    try:
+        for b in batches:
+            for anchor, segment, at, text in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                if last == (anchor, segment):
+                    continue  # an equal row of documents brought it again
+                if len(keys) >= COLLECTION and last[0] != anchor:
+                    yield work()
+                    folder.cleanup()
+                    folder, keys = None, []
+                if folder is None:
+                    folder = tempfile.TemporaryDirectory()
+                    c = Collection(folder.name, 2 * least - gram)
+                last = anchor, segment
+                c.add(left - at, text)
+                keys.append((anchor, segment, left - at, left - at + len(text)))
+        if keys:
+            yield work()
+    finally:
+        if folder is not None:
+            folder.cleanup()
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, gram: int = 50) -> DataFrame:
@@ -268,24 +261,23 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     left = least - gram
     # equal segments, once each, with a count; those met more than once are repeated as a whole
     kinds = durable(met.where("mixed").groupBy("anchor", "segment").agg(F.count("pos").alias("n"), F.min(F.struct("key", "th", "pos")).alias("x")).select("anchor", "segment", "n", "x.*"))
-    need = kinds.groupBy("key", "th").agg(F.collect_list(F.struct("anchor", "segment", "n", "pos")).alias("a"))
+    need = kinds.groupBy("key", "th").agg(F.collect_list(F.struct("anchor", "segment", "pos")).alias("a"))
 
     def cut(batches):
         for b in batches:
-            raw, at = column_bytes(b.column(2))
+            raw, at = column_bytes(b.column(1))
             out = []
-            for i, (doc, items) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for i, items in enumerate(b.column(0).to_pylist()):
                 one = raw[at[i] : at[i + 1]]
                 for x in items:
                     first = max(0, x["pos"] - left)
-                    out.append((x["anchor"], x["segment"], x["n"], doc, first, one[first : x["pos"] + least].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int64()] * 5 + [pa.binary()])], names=["anchor", "segment", "n", "doc", "first", "bytes"])
+                    out.append((x["anchor"], x["segment"], x["pos"] - first, one[first : x["pos"] + least].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.binary()])], names=["anchor", "segment", "at", "bytes"])
 
     both = rows.alias("r").join(need.alias("n"), F.col("r.key").eqNullSafe(F.col("n.key")) & (F.col("r.th") == F.col("n.th")))
-    segments = durable(both.select(F.xxhash64("r.key", "r.th").alias("doc"), "n.a", "r.text").mapInArrow(cut, "anchor long, segment long, n long, doc long, first long, bytes binary"))
+    segments = both.select("n.a", "r.text").mapInArrow(cut, "anchor long, segment long, at long, bytes binary")
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    found = durable(dealt.mapInArrow(lambda batches: _collections(batches, least), "anchor long, segment long, spans binary"))
-    discard(segments)
+    found = durable(dealt.mapInArrow(lambda batches: _collections(batches, least, gram), "anchor long, segment long, spans binary"))
     whole = met.where(~F.col("mixed")).select("key", "th", F.struct("pos", F.lit(None).cast("binary").alias("spans")).alias("x"))
     often = met.where("mixed").join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("key", "th", F.struct("pos", F.lit(None).cast("binary").alias("spans")).alias("x"))
     parts = kinds.where("n = 1").join(found, ["anchor", "segment"]).select("key", "th", F.struct("pos", "spans").alias("x"))

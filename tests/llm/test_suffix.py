@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 from hypothesis import given, settings
@@ -33,17 +34,24 @@ def check(spark, texts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("abc", max_size=14), min_size=1, max_size=8))
-def test_transform_sorts_suffixes(strings):
-    strings = [s.encode() for s in strings]
-    if not any(strings):
-        return
-    bwt, lcp, string, start = suffix.transform(strings, 5)
-    ends = sorted(((strings[i][k:], i, k) for i in range(len(strings)) for k in range(len(strings[i]) + 1)), key=lambda x: ([*x[0], -1] if True else 0, x[1]))
-    assert [(int(a), int(b)) for a, b in zip(string, start)] == [(i, k) for _, i, k in sorted(ends, key=lambda x: (tuple(x[0]) + (-1,), x[1]))]
-    for n in range(1, len(lcp)):
-        a, b = strings[string[n - 1]][start[n - 1] :], strings[string[n]][start[n] :]
-        assert lcp[n] == min(5, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+@given(st.lists(st.tuples(st.text("abc", max_size=9), st.integers(0, 3)), min_size=1, max_size=9), st.integers(2, 5))
+def test_rounds_sort_suffixes_of_each_column(strings, block):
+    with tempfile.TemporaryDirectory() as folder:
+        c = suffix.Collection(folder, 12, block)
+        full = []
+        for s, at in strings:
+            c.add(at, s.encode())
+            full.append(b"\0" * at + bytes(x + 1 for x in s.encode()) + b"\0" * (12 - at - len(s)))
+        c.close()
+        seen = 0
+        for j, order, lcp in suffix.rounds(c, 5):
+            tails = [full[r][j:] for r in order]
+            assert tails == sorted(f[j:] for f in full)
+            for n in range(1, len(tails)):
+                same = next((k for k, (x, y) in enumerate(zip(tails[n - 1], tails[n])) if x != y), 5)
+                assert min(5, lcp[n]) == min(5, same)
+            seen += 1
+        assert seen == 12
 
 
 def test_matches_brute_force(spark):

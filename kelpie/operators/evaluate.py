@@ -49,3 +49,9 @@ def token_usage(calls: DataFrame, price_in: float = 0.15, price_out: float = 0.6
 
     out = calls.agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
     return out.withColumn("cost", token_cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """One printable line a question, in order of level and id."""
+    line = F.format_string("[%s] sources %.0f%%  entities %.0f%%  graph %s  %d chunks, %d triples, top %.4f", F.col("query_id").cast("string"), 100 * F.col("source_recall"), 100 * F.col("entity_recall"), F.when(F.col("graph_fired"), "yes").otherwise("no"), F.col("chunk_count"), F.col("triple_count"), F.col("top_score").cast("double"))
+    return scores.orderBy("level", "query_id").select("level", "query_id", line.alias("line"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions.text import edge_label, entity_type, is_protected, node_label, query_terms, relation_type, strip, term_class, tolerant_json, valid_name, valid_relation
+from kelpie.operators.durable import cut
 
 # ---------------------------------------------------------------- validation
 
@@ -124,7 +125,7 @@ def candidates(queries: DataFrame) -> DataFrame:
     """(query_id, term, turn): a query's candidate terms, technical ones first and hubs last, else as they stand in the query."""
     t = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("x")).select("query_id", "x.term", "x.pos")
     w = Window.partitionBy("query_id").orderBy(term_class(F.col("term")), "pos", "term")
-    return t.select("query_id", "term", F.row_number().over(w).alias("turn"))
+    return t.select("query_id", "term", F.row_number().over(w).alias("turn"))  # a few dozen rows a query
 
 
 def matching_nodes(nodes: DataFrame, cands: DataFrame, limit: int | None) -> DataFrame:
@@ -149,13 +150,15 @@ def matching_nodes(nodes: DataFrame, cands: DataFrame, limit: int | None) -> Dat
 
 
 def khop(edges: DataFrame, start: DataFrame, hops: int, keys: list[str]) -> DataFrame:
-    """(keys, node_id): nodes within `hops` steps of start(keys, node_id), either way, start included."""
+    """(keys, node_id): nodes within `hops` steps of start(keys, node_id), either way, start included.
+
+    Each step's front is written to the checkpoint folder, so the plan doesn't double with every hop; only new nodes go on.
+    """
     both = edges.select(F.col("src_id").alias("node_id"), F.col("dst_id").alias("next")).unionByName(edges.select(F.col("dst_id").alias("node_id"), F.col("src_id").alias("next"))).distinct()
-    reached = start.select(*keys, "node_id").distinct()
-    front = reached
+    front = reached = cut(start.select(*keys, "node_id").distinct())
     for _ in range(hops):
         step = front.join(both, "node_id").select(*keys, F.col("next").alias("node_id")).distinct()
-        front = step.join(reached, [*keys, "node_id"], "left_anti")
+        front = cut(step.join(reached, [*keys, "node_id"], "left_anti"))
         reached = reached.unionByName(front)
     return reached
 

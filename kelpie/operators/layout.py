@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions.text import strip
+from kelpie.schemas import BBOX, TABLE
 
 
 def average_size(spans: DataFrame, pages: int = 5, default: float = 10.0) -> DataFrame:
@@ -45,6 +50,28 @@ def needs_ocr(elements: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return elements.groupBy("source_file", "page").agg(strip(text).alias("page_text")).where(F.length("page_text") < s.ocr_below).select("source_file", "page")
 
 
+def recognise(pages: DataFrame, read: Callable[[bytes], str]) -> DataFrame:
+    """Elements of type ocr from pages(path, source_file, page, image): what `read` finds on the image; blank or failed pages give none."""
+
+    @F.pandas_udf(StringType())
+    def text(images: pd.Series) -> pd.Series:
+        def one(raw) -> str:
+            try:
+                return read(bytes(raw)).strip()
+            except Exception:  # noqa: BLE001  a page that can't be read is an empty page
+                return ""
+
+        return images.map(one)
+
+    out = pages.withColumn("text", text("image")).where("text <> ''")
+    return out.select("path", "source_file", F.lit(0).alias("elem_seq"), F.lit("ocr").alias("element_type"), "text", "page", F.lit(None).cast(BBOX).alias("bbox"), F.lit(None).cast(TABLE).alias("table_data"), F.lit(0.0).alias("font_size"), F.lit(False).alias("is_bold"))
+
+
+def with_captions(elements: DataFrame, captions: DataFrame) -> DataFrame:
+    """Elements and figure captions of the same files, in reading order."""
+    return reading_order(elements.unionByName(captions))
+
+
 def table_data(cells: Column) -> Column:
     """struct<headers, rows> of a grid: the first row is the header; a grid of one row is header and row."""
     text = F.transform(cells, lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))

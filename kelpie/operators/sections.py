@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions.text import is_blank, strip
 from kelpie.functions.udf import splitter
+from kelpie.operators.durable import cut
 
 
 def sections(elements: DataFrame) -> DataFrame:
@@ -92,6 +93,16 @@ def with_child_ids(parents: DataFrame, children: DataFrame) -> DataFrame:
     return out.withColumn("child_ids", F.coalesce("_ids", "child_ids")).select(*parents.columns)
 
 
+def ordered(chunks: DataFrame) -> DataFrame:
+    """chunks with chunk_ord, a number that grows with file name, parent, piece and child. No task sees all rows: ranges are sorted on their own.
+
+    Written to the checkpoint folder at once, so the numbers stay as they are.
+    """
+    number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract("chunk_id", pattern, 1), F.lit("")).cast("int"), F.lit(-1))
+    keys = ["source_file", number("__par([0-9]+)_"), number("__par[0-9]+_([0-9]+)"), number("__c([0-9]+)$"), "chunk_id"]
+    return cut(chunks.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("chunk_ord", F.monotonically_increasing_id()))
+
+
 def kg_chunks(chunks: DataFrame, processed: DataFrame | None = None) -> DataFrame:
     """What a graph is built from: parents if there are any, else all chunks; without those processed before."""
     some = chunks.where("content_level = 'parent'").limit(1).select(F.lit(True).alias("_some"))

@@ -12,6 +12,7 @@ from kelpie import schemas, vocab
 from kelpie.functions import text as T
 from kelpie.functions.udf import splitter
 from kelpie.operators import answer, dense, evaluate, fusion, graph, layout, lexical, resolve, sections
+from kelpie.operators.durable import cut
 from kelpie.plans import retrieval
 
 QUERIES: dict = {}
@@ -191,7 +192,7 @@ e AS (SELECT *, length(line) BETWEEN 1 AND 24 AS h FROM lines),
 n AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS no, first_value(CASE WHEN h THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS one,
   last_value(CASE WHEN h THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS two FROM e),
 s AS (SELECT doc_id, no, any_value(one) AS one, any_value(two) AS two, string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (trim(line) <> '') AS text FROM n WHERE NOT h GROUP BY doc_id, no)
-SELECT doc_id, no AS section, CASE WHEN one IS NULL THEN '' WHEN no = 1 THEN trim(one) ELSE trim(one) || ' > ' || trim(two) END AS heading, text FROM s WHERE text IS NOT NULL""")
+SELECT doc_id, no::BIGINT AS section, CASE WHEN one IS NULL THEN '' WHEN no = 1 THEN trim(one) ELSE trim(one) || ' > ' || trim(two) END AS heading, text FROM s WHERE text IS NOT NULL""")
 def line_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents as elements; those of 1 to 24 characters are headings without a size."""
     lines = doc_lines(spark, sf)
@@ -296,6 +297,12 @@ def stored_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return graph.upsert_graph(*entities_relations(spark, sf))
 
 
+def written_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The graph as searches find it: computed once, as stored tables would be."""
+    nodes, edges = stored_graph(spark, sf)
+    return cut(nodes), cut(edges)
+
+
 _GRAPH = """
 ent AS (SELECT r_name AS name, 'Module' AS label, min(r_regionkey) AS created FROM region GROUP BY 1 UNION ALL SELECT n_name, 'Component', min(n_nationkey) FROM nation GROUP BY 1 UNION ALL SELECT s_name, 'Pin', min(s_suppkey) FROM supplier GROUP BY 1),
 rel AS (SELECT n_name AS a, 'PART_OF' AS t, r_name AS b, n_nationkey AS o FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -327,7 +334,7 @@ _BOTH = "both_ways AS (SELECT src_id AS a, dst_id AS b FROM edges UNION SELECT d
 @query(f"""WITH RECURSIVE {_GRAPH}, {_BOTH}, walk AS (SELECT node_id AS start, node_id, 0 AS depth FROM nodes WHERE label = 'Module' UNION SELECT start, b, depth + 1 FROM walk JOIN both_ways ON a = node_id WHERE depth < 3)
 SELECT DISTINCT start, node_id FROM walk""")
 def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = stored_graph(spark, sf)
+    nodes, edges = written_graph(spark, sf)
     start = nodes.where("label = 'Module'").select(F.col("node_id").alias("start"), "node_id")
     return graph.khop(edges, start, 3, ["start"])
 
@@ -354,7 +361,7 @@ hit AS (SELECT query_id, turn, source, relation, target, row_number() OVER (PART
   FROM cands JOIN named ON contains(lower(source), lower(term)) OR contains(lower(target), lower(term)))
 SELECT query_id, turn, source, relation, target, n FROM hit WHERE n <= 30""")
 def graph_onehop(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = stored_graph(spark, sf)
+    nodes, edges = written_graph(spark, sf)
     out = graph.one_hop(nodes, edges, graph.candidates(region_queries(spark, sf)), 30)
     return out.select("query_id", F.col("turn").cast("long").alias("turn"), "source", "relation", "target", F.col("n").cast("long").alias("n"))
 
@@ -372,7 +379,7 @@ rel2 AS (SELECT u.*, (SELECT 10 * (count(DISTINCT lower(term)) FILTER (contains(
 fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, first) AS rank FROM rel2)
 SELECT query_id, source, relation, target, relevance, rank FROM fin WHERE rank <= 10""")
 def triple_search(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = stored_graph(spark, sf)
+    nodes, edges = written_graph(spark, sf)
     out = graph.triple_search(nodes, edges, region_queries(spark, sf))
     return out.select("query_id", "source", "relation", "target", F.col("relevance").cast("long").alias("relevance"), F.col("rank").cast("long").alias("rank"))
 
@@ -391,7 +398,7 @@ m AS (SELECT coalesce(a.new, src_id) AS src_id, rel_type, coalesce(b.new, dst_id
 SELECT src_id, rel_type, dst_id, max(chunk_id) AS chunk_id FROM m JOIN nodes x ON x.node_id = src_id JOIN nodes y ON y.node_id = dst_id WHERE x.name <> y.name GROUP BY ALL""")
 def edge_redirect(spark: SparkSession, sf: str) -> DataFrame:
     """Nations merge into their regions."""
-    nodes, edges = stored_graph(spark, sf)
+    nodes, edges = written_graph(spark, sf)
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return resolve.apply_merges(nodes, edges, n.select(F.col("n_name").alias("name"), F.col("r_name").alias("canonical")))[1]
 

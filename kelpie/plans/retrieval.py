@@ -66,7 +66,7 @@ def build_graph(spark: SparkSession, chunks: DataFrame, store: str, model: Calla
     from kelpie.operators.answer import extract
 
     todo = sections.kg_chunks(chunks)
-    todo = todo.withColumn("chunk_ord", F.xxhash64("chunk_id")) if "chunk_ord" not in todo.columns else todo
+    todo = sections.ordered(todo) if "chunk_ord" not in todo.columns else todo
     todo = todo.orderBy("chunk_ord", "chunk_id").limit(sample) if sample else todo
     files.save(extract(todo, model), f"{store}/raw")
     entities, relations, _ = graph.validate_extractions(spark.read.parquet(f"{store}/raw"))

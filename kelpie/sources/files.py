@@ -142,3 +142,23 @@ def select_queries(queries: DataFrame, query_id: str | None = None, level: int |
         first = queries.groupBy("level").agg(F.min_by("query_id", "pos").alias("query_id"))
         return queries.join(F.broadcast(first), ["level", "query_id"], "left_semi")
     return queries
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id) from a JSON progress file's processed_chunk_ids; a file that is missing or can't be read gives none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.option("wholetext", "true").text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "chunk_id string")
+    ids = F.expr("try_variant_get(try_parse_json(value), '$.processed_chunk_ids', 'array<string>')")
+    return raw.select(F.explode(ids).alias("chunk_id")).distinct()
+
+
+def inline_queries(spark: SparkSession, levels: dict[int, tuple[str, list[str]]]) -> DataFrame:
+    """(query_id, level, level_label, query) from level: (label, questions)."""
+    rows = [(f"L{level}Q{k}", level, label, q) for level, (label, qs) in sorted(levels.items()) for k, q in enumerate(qs, 1)]
+    return spark.createDataFrame(rows, "query_id string, level int, level_label string, query string")

@@ -376,3 +376,23 @@ def test_increments_resume(spark, tmp_path):
     phased = incremental.budget(todo, spark.createDataFrame([("c0",)], "chunk_id string"), [("small", 2), ("large", 1)])
     assert [(r.chunk_id, r.phase) for r in phased.orderBy("chunk_ord").collect()] == [("c1", "small"), ("c2", "small"), ("c3", "large")]
     assert len(hashed_embedding("a")) == 384
+
+
+def test_smaller_parts(spark, tmp_path):
+    from kelpie.operators import providers
+
+    chunks = spark.createDataFrame([(f"f__par{k}_0", "f", k) for k in (10, 2, 0)], "chunk_id string, source_file string, k int")
+    assert [r.k for r in sections.ordered(chunks).orderBy("chunk_ord").collect()] == [0, 2, 10]
+    (tmp_path / "p.json").write_text('{"processed_chunk_ids": ["a", "b", "a"], "runs": []}')
+    (tmp_path / "q.json").write_text("broken")
+    assert {r.chunk_id for r in files.read_progress(spark, str(tmp_path / "p.json")).collect()} == {"a", "b"}
+    assert files.read_progress(spark, str(tmp_path / "q.json")).count() == 0 and files.read_progress(spark, str(tmp_path / "no.json")).count() == 0
+    assert [r.query_id for r in files.inline_queries(spark, {1: ("one", ["x", "y"])}).collect()] == ["L1Q1", "L1Q2"]
+    pages = spark.createDataFrame([("p", "f", 1, b"ok"), ("p", "f", 2, b"bad"), ("p", "f", 3, b" ")], "path string, source_file string, page int, image binary")
+    read = lambda raw: raw.decode() if raw != b"bad" else 1 / 0
+    assert [(r.page, r.text, r.element_type) for r in layout.recognise(pages, read).collect()] == [(1, "ok", "ocr")]
+    assert providers.model("function", f=lambda ms: ms[0]["content"])([{"role": "user", "content": "x"}]) == "x"
+    with pytest.raises(ValueError):
+        providers.model("none")
+    scores = spark.createDataFrame([("a", 1, 0.5, 1.0, True, 3, 8, 0.03)], "query_id string, level int, source_recall double, entity_recall double, graph_fired boolean, triple_count long, chunk_count long, top_score double")
+    assert evaluate.report(scores).first().line == "[a] sources 50%  entities 100%  graph yes  8 chunks, 3 triples, top 0.0300"

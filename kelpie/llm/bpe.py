@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 #: Parts longer than this many characters are encoded as a tree; leaves are half as long at least.
 LEAF = 4096
 #: Entries of the table of encoded parts in a worker; it starts anew when full.
-TABLE = 400_000
+TABLE = 700_000
 #: The word pattern of this family of tokenizers, and what it is for characters of which each is its own normal form.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
@@ -53,6 +54,7 @@ class Encoder(dict):
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.apart = all(ids(a + gap + b) == ids(a) + ids(b) for a, b in (("a", "b"), ("a1", ".b"), ("'", "s")) for gap in (" ", "\n", " \n "))
         self.words: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.bytes = self._byte_letters() if self._known(json.loads(self.tokenizer.to_str())) else None
 
     @staticmethod
@@ -73,14 +75,28 @@ class Encoder(dict):
     def _word(self, word: str) -> bytes:
         if len(self.words) >= TABLE:
             self.words.clear()
-        ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
+        if not word.isascii():
+            word_bytes = word.translate(self.bytes)
+        else:
+            word_bytes = word  # printable ASCII stands for itself
+        found = [t.id for t in self.tokenize(word_bytes)]
+        ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, part: str) -> bytes:
+        if not part:
+            return b""
         if len(self) >= TABLE:
             self.clear()
-        if self.bytes and len(part) < 64 and PLAIN.fullmatch(part):
-            ids = b"".join([self.words.get(w) or self._word(w) for w in PLAIN_WORDS.findall(part.lower())])
+        if self.bytes and len(part) < 64 and (part.isascii() and part.isprintable() and "<|" not in part or PLAIN.fullmatch(part)):
+            low = part.lower()
+            # most parts are one word, or one with a mark behind it
+            if low.isalpha():
+                ids = self.words.get(low) or self._word(low)
+            elif low[-1] in ".," and low[:-1].isalpha():
+                ids = (self.words.get(low[:-1]) or self._word(low[:-1])) + (self.words.get(low[-1]) or self._word(low[-1]))
+            else:
+                ids = b"".join([self.words.get(w) or self._word(w) for w in PLAIN_WORDS.findall(low)])
         else:
             ids = self._ids(part)
         if len(part) < 64:

@@ -28,6 +28,8 @@ SHARD = 2048
 K1, B = 1.5, 0.75
 #: Most telling terms that choose a shard; terms of a seed's query.
 TELLING, QUERY = 8, 24
+#: After so many neighbours, one that doesn't fit is cut rather than a smaller one looked for.
+LOOK = 32
 
 
 def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
@@ -51,16 +53,16 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
     """Document frequency of every id, number of documents, mean length. What reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
-        seen, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        seen, mark, n, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), 0, 0
         for b in batches:
             for x in b.column(0):
                 ids = np.frombuffer(x.as_py(), wide)
-                top = int(ids.max())
-                if top >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(top + 1 - len(seen), np.int64)])
-                mark = np.zeros(len(seen), bool)
+                if wide != "<u2" and (top := int(ids.max())) >= len(seen):
+                    seen, mark = (np.concatenate([v, np.zeros(top + 1 - len(v), v.dtype)]) for v in (seen, mark))
                 mark[ids] = True
-                seen += mark
+                at = np.flatnonzero(mark)
+                seen[at] += 1
+                mark[at] = False
                 n, total = n + 1, total + len(ids)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], n, total])], names=["term", "n"])
@@ -72,6 +74,19 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
     return df, n, total / max(n, 1)
 
 
+def nearest(score: np.ndarray):
+    """Indices by falling score, ties by place; the best LOOK are found without sorting the others."""
+    if len(score) > 4 * LOOK:
+        best = np.argpartition(-score, LOOK)[:LOOK]
+        best = best[np.lexsort((best, -score[best]))]
+        yield from best.tolist()
+        rest = score.copy()
+        rest[best] = -np.inf
+        yield from np.argsort(-rest, kind="stable")[: len(score) - LOOK].tolist()
+    else:
+        yield from np.argsort(-score, kind="stable").tolist()
+
+
 def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (rest, begin, length) over all ids of the rests; every window but the last is full."""
     n = len(rests)
@@ -106,14 +121,17 @@ def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
         if room:
             w = weight[bounds[seed] : bounds[seed + 1]]
             ask = terms[seed][np.argsort(-w, kind="stable")[:QUERY]]
-            spans = [where[int(t)] for t in ask]
-            hit = np.concatenate([np.arange(a, b) for a, b in spans])
-            score = np.bincount(pdoc[hit], pweight[hit], minlength=n)
+            spans = [where[t] for t in ask.tolist()]
+            score = np.bincount(np.concatenate([pdoc[a:b] for a, b in spans]), np.concatenate([pweight[a:b] for a, b in spans]), minlength=n)
+            looked = 0
             score[used] = -1
-            free = np.flatnonzero(score >= 0)
-            near = free[np.argsort(-score[free], kind="stable")]
             cut = -1
-            for d in near.tolist():
+            for d in nearest(score):
+                if score[d] < 0:
+                    break
+                if cut >= 0 and looked >= LOOK:
+                    break
+                looked += 1
                 left = int(size[d])
                 if left <= room:
                     used[d] = True
@@ -144,6 +162,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
     kind = docs.schema[key].dataType.simpleString()
 
     def rest(batches):
+        hashed = mix(np.arange(1, len(df) + 1, dtype=np.uint64))  # of every id
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
@@ -154,13 +173,13 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
                     crcs = [zlib.crc32(ids[i * window : (i + 1) * window].astype("<u4").tobytes()) for i in range(whole)]
                     t, c = np.unique(ids, return_counts=True)
                     w = idf[t] * c / (c + K1)
-                    t = t[np.argsort(-w, kind="stable")[:TELLING]].astype(np.uint64)
-                    h = mix(t + np.uint64(1))
-                    first, second = t[h.argmin()], np.sort(h)[: 2][-1]
-                    spread = 1 + int(df[int(first)]) // target
-                    salt = (zlib.crc32(ids.tobytes()) + 31 * (lo + row)) % spread
-                    shard = int(mix(np.array([int(first) * 1_000_003 + salt], np.uint64))[0] % np.uint64(shards))
-                    out.append((shard, int(second >> np.uint64(1)), len(ids), np.array(crcs, "<u4").tobytes(), ids[whole * window :].tobytes()))
+                    t = t[np.argpartition(-w, TELLING)[:TELLING]] if len(t) > TELLING else t
+                    pair = sorted(zip(hashed[t].tolist(), t.tolist(), strict=True))[:2]
+                    first, second = pair[0][1], pair[-1][0]
+                    spread = 1 + int(df[first]) // target
+                    salt = (zlib.crc32(ids) + 31 * (lo + row)) % spread
+                    shard = zlib.crc32(b"%d %d" % (first, salt)) % shards
+                    out.append((shard, second >> 1, len(ids), np.array(crcs, "<u4").tobytes(), ids[whole * window :].tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]], names=["key", "shard", "near", "n", "crcs", "rest"])
 
     dealt = table.mapInArrow(rest, f"key {kind}, shard long, near long, n long, crcs binary, rest binary").repartition(parts, "shard").sortWithinPartitions("shard", "near", "key", "n")

@@ -3,8 +3,10 @@
 Two permutations make a whole signature: sigma scatters a shingle over the circle of 32-bit numbers, and coordinate k is
 the least value of pi over the shingles after a circular shift by k. Signatures are cut into bands; sets that
 agree on a band meet in its bucket. Equal sets are one node from the start. A bucket is never paired out: each
-node is held against the bucket's most typical member, then, round by round, nodes outside the bucket's largest
-component are held against the others, until no two components of a bucket are left untried. Candidates pass a test of sizes and of
+node is held against the bucket's most typical member, then nodes that this left in other components against
+the next typical ones. In buckets that still hold several components and have untried pairs, an exact prefix index finds all partners of
+the nodes outside the largest component: shingles are ordered from rare to frequent, and two sets that are alike enough share one among
+their first, at places that leave room for the overlap they need. Candidates pass a test of sizes and of
 the signatures' agreement (it would lose a pair at the threshold once in 10**9), then an exact one on the full sets.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with the same key and different texts are
@@ -27,6 +29,10 @@ ROWS, BANDS = 5, 32
 WIDTH = ROWS * BANDS
 #: Share of equal signature coordinates (8 bits each) from which a candidate is verified; 6 standard deviations under 0.8.
 AGREE = 0.6
+#: So many of a bucket's most typical members are tried before the prefix index takes over.
+TYPICAL = 6
+#: Nodes (of about 60 bytes) that may be broadcast.
+SMALL = 200_000
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -116,11 +122,57 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("sid", "bands").mapInArrow(run, "bk long, sid long")
 
 
+def _apart(members: DataFrame, larger_than: int | None) -> DataFrame:
+    """Members (bk, sid, root) of buckets with several components, and whether each is outside the bucket's largest one."""
+    sizes = members.groupBy("bk", "root").agg(F.count("sid").alias("size"))
+    major = sizes.groupBy("bk").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.count("root").alias("roots"), F.sum("size").alias("all"))
+    major = major.where("roots > 1") if larger_than is None else major.where((F.col("roots") > 1) & (F.col("all") > larger_than))
+    return members.join(major.select("bk", "major"), "bk").select("bk", "sid", (F.col("root") != F.col("major")).alias("minor"), *(["root"] if larger_than is not None else []))
+
+
+def _prefix_pairs(rest: DataFrame, test: _Verifier) -> DataFrame:
+    """Candidate pairs (a, b) of a minor node and any other of rest(sid, root, minor): all that can reach the threshold.
+
+    With shingles in order of their frequency here, the first one that two sets share stands so early in both that enough
+    is left for the overlap they need. A row is therefore good for partners up to a certain size only; sizes go by
+    classes, so a frequent shingle meets only partners for which it can be the first.
+    """
+    percent = test.percent
+
+    def longs(batches):
+        for b in batches:
+            values = pa.py_buffer(b"".join(x.as_py() for x in b.column(1)))
+            sizes = np.array([len(x.as_py()) // 8 for x in b.column(1)], np.int32)
+            flat = pa.Array.from_buffers(pa.int64(), int(sizes.sum()), [None, values])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)], names=["sid", "s"])
+
+    ids = rest.select("sid")
+    sets = durable(test.sets(ids).join(ids, "sid", "left_semi").dropDuplicates(["sid"]).mapInArrow(longs, "sid long, s array<long>"))
+    each = sets.select("sid", F.explode("s").alias("token"))
+    often = each.groupBy("token").agg(F.count("sid").alias("df")).where("df > 1")
+    shared = each.join(often, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    sized = sets.select("sid", F.size("s").alias("n")).join(shared, "sid").join(rest, "sid")
+    # tokens that only one set has come first in its order; place i leaves n - i
+    first = F.col("n") - F.size("ts")
+    reach = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - first
+    rows = sized.withColumn("first", first).where(reach > 0).select("sid", "n", "root", "minor", "first", F.posexplode(F.slice("ts", 1, reach)).alias("k", "t"))
+    room = (F.col("n") - F.col("first") - F.col("k")) * (100 + percent) / percent - F.col("n")  # the largest partner
+    rows = durable(rows.withColumn("most", F.floor(room + 1e-6).cast("int")).select("sid", "n", "root", "minor", "most", F.col("t.token").alias("token")))
+    size_class = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) / 0.03 + 1e-9).cast("int")
+    least = F.ceil(F.col("n") * percent / 100 - 1e-6).cast("int")
+    probes = rows.where(F.col("minor") & (F.col("most") >= least)).withColumn("c", F.explode(F.sequence(size_class(least), size_class(F.least(F.col("most"), F.ceil(F.col("n") * 100 / percent).cast("int"))))))
+    others = rows.withColumn("c", size_class(F.col("n")))
+    both = probes.alias("p").join(others.alias("o"), ["token", "c"])
+    fits = (F.col("o.n") <= F.col("p.most")) & (F.col("p.n") <= F.col("o.most")) & (F.col("p.root") != F.col("o.root"))
+    return both.where(fits).select(F.least("p.sid", "o.sid").alias("a"), F.greatest("p.sid", "o.sid").alias("b")).distinct()
+
+
 class _Verifier:
     """Tests candidate pairs (a, b) of nodes, first by size and sketch, then on the full sets."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, k: int, percent: int):
         self.docs, self.nodes, self.key, self.text, self.k, self.percent = docs, nodes, key, text, k, percent
+        self.known: DataFrame | None = None  # full sets so far, so that texts are gone through again only for new nodes
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         n = self.nodes.select("sid", "n_shingles", "sketch")
@@ -137,23 +189,35 @@ class _Verifier:
 
         return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
-    def links(self, pairs: DataFrame) -> DataFrame | None:
-        likely = durable(self.likely(pairs))
-        ids = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
-        need = durable(ids.join(self.nodes.select("sid", "rep", "set_hash"), "sid"))
-        if need.isEmpty():
-            discard(likely)
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(sid, s): the full shingle sets, sorted 64-bit hashes, of the nodes ids(sid) and others. Equal rows of documents repeat them."""
+        k = self.k
+        new = ids if self.known is None else ids.join(self.known.select("sid"), "sid", "left_anti")
+        need = durable(new.join(self.nodes.select("sid", "rep", "set_hash"), "sid"))
+        n = need.count()
+        if not n:
             discard(need)
-            return None
-        k, percent = self.k, self.percent
+            return self.known if self.known is not None else ids.select("sid", F.lit(b"").alias("s")).limit(0)
 
-        def sets(batches):
+        def run(batches):
             for b in batches:
-                out = [(i, s.tobytes()) for i, want, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k), strict=True) if len(s) and set_hash(s) == want]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["sid", "s"])
+                out = [(i, s) for i, want, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k), strict=True) if len(s) and set_hash(s) == want]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], names=["sid", "s"])
 
         rows = self.docs.select(F.col(self.key).alias("rep"), F.col(self.text).alias("_text")).where("rep is not null")
-        full = durable(rows.join(need, "rep").select("sid", "set_hash", "_text").mapInArrow(sets, "sid long, s binary"))
+        # up to SMALL nodes are sent to the texts; more of them are joined by a shuffle of both
+        found = durable(rows.join(F.broadcast(need) if n <= SMALL else need, "rep").select("sid", "set_hash", "_text").mapInArrow(run, "sid long, s binary"))
+        discard(need)
+        self.known = found if self.known is None else self.known.unionByName(found)
+        return self.known
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        likely = durable(self.likely(pairs))
+        ids = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
+        if likely.isEmpty():
+            discard(likely)
+            return None
+        percent, full = self.percent, self.sets(ids)
         both = likely.join(full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
 
         def exact(batches):
@@ -166,8 +230,7 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
         out = durable(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct())
-        for x in (likely, need, full):
-            discard(x)
+        discard(likely)
         return out
 
 
@@ -187,31 +250,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     discard(members)
     members = members2
     test = _Verifier(docs, nodes, key, text, k, percent)
-    # first round: everything against the most typical member of its bucket
-    used = durable(members.groupBy("bk").agg(F.max_by("sid", F.struct("weight", "sid")).alias("sid")))
-    pairs = members.alias("m").join(used.alias("p"), "bk").where("m.sid <> p.sid").select(F.least("m.sid", "p.sid").alias("a"), F.greatest("m.sid", "p.sid").alias("b")).distinct()
-    found, roots, pivots = None, None, 4
-    while True:
+    typical = Window.partitionBy("bk").orderBy(F.desc("weight"), F.desc("sid"))
+    top = durable(members.withColumn("turn", F.row_number().over(typical)).where(F.col("turn") <= TYPICAL).select("bk", F.col("sid").alias("top"), "turn"))
+    found, roots = None, None
+
+    def step(pairs: DataFrame) -> None:
+        nonlocal found, roots
         new = test.links(pairs)
         if new is not None:
             found = new if found is None else durable(found.unionByName(new).distinct())
-            if roots is not None:
-                discard(roots)
             roots = durable(components(found))
-        at = members if roots is None else members.join(roots.withColumnsRenamed({"node": "sid"}), "sid", "left")
-        at = at.withColumn("root", F.coalesce("root", "sid") if roots is not None else F.col("sid"))
-        # what is left: members outside the bucket's largest component that have not yet been held against all others
-        sizes = at.groupBy("bk", "root").agg(F.count("sid").alias("size"))
-        major = sizes.groupBy("bk").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.count("root").alias("roots")).where("roots > 1").drop("roots")
-        minor = at.join(major, "bk").where("root <> major").join(used, ["bk", "sid"], "left_anti")
-        turn = Window.partitionBy("bk").orderBy(F.desc("weight"), "sid")
-        chosen = durable(minor.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots).select("bk", "sid", "root"))
-        if chosen.isEmpty():
-            discard(chosen)
-            break
-        pairs = at.alias("m").join(chosen.alias("p"), "bk").where("m.root <> p.root").select(F.least("m.sid", "p.sid").alias("a"), F.greatest("m.sid", "p.sid").alias("b")).distinct()
-        used = durable(used.unionByName(chosen.select("bk", "sid")))
-        pivots *= 4
+
+    def rooted(df: DataFrame, name: str = "sid", out: str = "root") -> DataFrame:
+        if roots is None:
+            return df.withColumn(out, F.col(name))
+        return df.join(roots.select(F.col("node").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+
+    def pairs_of(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    # first everything against the most typical member of its bucket, then what is left apart against the next ones
+    step(pairs_of(members.join(top.where("turn = 1"), "bk").where("sid <> top"), "sid", "top"))
+    step(pairs_of(rooted(_apart(rooted(members), None)).join(rooted(top.where("turn > 1"), "top", "top_root"), "bk").where("minor and sid <> top and root <> top_root"), "sid", "top"))
+    # in larger buckets with several components, pairs can still be untried
+    rest = durable(_apart(rooted(members), TYPICAL).groupBy("sid", "root").agg(F.max("minor").alias("minor")))
+    step(_prefix_pairs(rest, test))
     node_root = nodes.select("sid", "set_hash", "rep")
     if roots is None:
         ids = node_root.select("set_hash", F.col("rep").alias("component_id"))

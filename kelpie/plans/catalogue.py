@@ -58,21 +58,21 @@ def doc_queries(spark: SparkSession, sf: str) -> DataFrame:
 _KEEP = ", ".join(f"'{t}'" for t in vocab.LEXICAL_KEEP)
 _TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z0-9][a-z0-9/]*'), lambda t: length(t) > 2 OR t IN ({_KEEP}))"
 _INDEX = f"""
-toks AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents),
+toks AS MATERIALIZED (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents),
 corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
-post AS (SELECT doc_id, len(any_value(t)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) GROUP BY doc_id, term),
-dfs AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term),
+post AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY doc_id, dl, term),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term),
 mean AS (SELECT avg(raw) AS avg_idf FROM dfs),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM dfs, mean)"""
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM dfs, mean)"""
 
 
 def _bm25(asked: str, k: int) -> str:
     """CTEs up to top(query_id, chunk_id, score, rank); asked(query_id, query) must come before."""
     return f"""
-asked_terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM {asked}) GROUP BY query_id, term),
-scored AS (SELECT query_id, doc_id AS chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+asked_terms AS MATERIALIZED (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM {asked}) GROUP BY query_id, term),
+scored AS MATERIALIZED (SELECT query_id, doc_id AS chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM asked_terms JOIN post USING (term) JOIN idf USING (term), corpus GROUP BY query_id, doc_id),
-normed AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS score FROM scored),
+normed AS MATERIALIZED (SELECT query_id, chunk_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS score FROM scored),
 top AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM normed) WHERE rank <= {k} AND score > 0)"""
 
 

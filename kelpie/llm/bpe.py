@@ -25,10 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kelpie.llm.common import blocks, column_bytes, placed_words
+
 #: Parts longer than this many characters are encoded as a tree; leaves are half as long at least.
 LEAF = 4096
 #: Entries of the table of encoded parts in a worker; it starts anew when full.
-TABLE = 700_000
+TABLE = 300_000
+#: Slots of the table that whole columns use, and ids that its words may take; it starts anew beyond.
+SLOTS, POOL = 1 << 21, 1 << 24
 #: The word pattern of this family of tokenizers, and what it is for characters of which each is its own normal form.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
@@ -84,25 +88,27 @@ class Encoder(dict):
         return ids
 
     def __missing__(self, part: str) -> bytes:
-        if not part:
-            return b""
         if len(self) >= TABLE:
             self.clear()
-        if self.bytes and len(part) < 64 and (part.isascii() and part.isprintable() and "<|" not in part or PLAIN.fullmatch(part)):
-            low = part.lower()
-            # most parts are one word, or one with a mark behind it
-            if low.isalpha():
-                ids = self.words.get(low) or self._word(low)
-            elif low[-1] in ".," and low[:-1].isalpha():
-                ids = (self.words.get(low[:-1]) or self._word(low[:-1])) + (self.words.get(low[-1]) or self._word(low[-1]))
-            else:
-                ids = b"".join([self.words.get(w) or self._word(w) for w in PLAIN_WORDS.findall(low)])
-        else:
-            ids = self._ids(part)
+        ids = self.ids_of(part)
         if len(part) < 64:
             self[part] = ids
         return ids
 
+    def ids_of(self, part: str) -> bytes:
+        """The ids of a part without spaces or line breaks."""
+        if not part:
+            return b""
+        if not (self.bytes and len(part) < 64 and (part.isascii() and part.isprintable() and "<|" not in part or PLAIN.fullmatch(part))):
+            return self._ids(part)
+        low = part.lower()
+        # most parts are one word, or one with a mark behind it
+        if low.isalpha():
+            return self.words.get(low) or self._word(low)
+        if low[-1] in ".," and low[:-1].isalpha():
+            return (self.words.get(low[:-1]) or self._word(low[:-1])) + (self.words.get(low[-1]) or self._word(low[-1]))
+        return b"".join([self.words.get(w) or self._word(w) for w in PLAIN_WORDS.findall(low)])
+
     def _ids(self, part: str) -> bytes:
         if not part:
             return b""
@@ -118,6 +124,70 @@ class Encoder(dict):
             return self._ids(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    # ------------------------------------------------------------ whole columns
+
+    def _fresh(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.filled, self.known = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of word hashes in the open table, -1 where there is none."""
+        mask = np.uint64(SLOTS - 1)
+        slot, out, todo = (h & mask).astype(np.int64), np.full(len(h), -1), np.arange(len(h))
+        while len(todo):
+            there = self.hashes[slot[todo]]
+            same = there == h[todo]
+            out[todo[same]] = slot[todo[same]]
+            todo = todo[~same & (there != 0)]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+        return out
+
+    def _learn(self, h: np.ndarray, found: list[bytes]) -> None:
+        """Puts different new word hashes and their ids into the table."""
+        new, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])
+        while self.filled + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(new)] = new
+        at = self.filled + np.cumsum(size) - size
+        slot, todo = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.hashes[slot[todo]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]  # of several that want a slot, one gets it
+            k = slot[free]
+            self.hashes[k], self.at[k], self.size[k] = h[free], at[free], size[free]
+            todo = todo[self.hashes[slot[todo]] != h[todo]]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+        self.filled += len(new)
+        self.known += len(h)
+
+    def encode_column(self, col: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row, unsigned 32-bit. Words are looked up by 64-bit hashes, a block of rows at once; each new one is encoded."""
+        if not self.apart:
+            yield from (np.frombuffer(self.encode(t.as_py()), "<u4") for t in col)
+            return
+        raw, at = column_bytes(col)
+        for lo, hi in blocks(at, 1 << 20):
+            part = raw[at[lo] : at[hi]]
+            h, first, starts, lengths = placed_words(part, at[lo : hi + 1] - at[lo], lower=False)
+            h = np.maximum(h, np.uint64(1))
+            if not hasattr(self, "pool") or self.known + len(h) > SLOTS * 3 // 4 and self.known > SLOTS // 4 or self.filled > POOL:
+                self._fresh()
+            slot = self._find(h)
+            if len(missing := np.flatnonzero(slot < 0)):
+                new, where = np.unique(h[missing], return_index=True)
+                if self.known + len(new) > SLOTS * 7 // 8:  # one text with more different words than the table holds
+                    yield from (np.frombuffer(b"".join(map(self.__getitem__, part[a:b].tobytes().decode().replace("\n", " ").split(" "))), "<u4") for a, b in zip(at[lo:hi] - at[lo], at[lo + 1 : hi + 1] - at[lo], strict=True))
+                    continue
+                data, w = part.tobytes(), missing[where]
+                self._learn(new, [self.ids_of(data[a:b].decode()) for a, b in zip(starts[w].tolist(), (starts[w] + lengths[w]).tolist(), strict=True)])
+                slot[missing] = self._find(h[missing])
+            size = self.size[slot].astype(np.int64)
+            ends = np.cumsum(size)
+            ids = self.pool[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            cut = np.r_[0, ends][first]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[a:b]
+
     # ------------------------------------------------------------ tree concatenation
 
     def _leaf(self, text: str, at: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -193,7 +263,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
-            ids = [own.encode(t.as_py()) for t in b.column(b.schema.get_field_index(text))]
+            ids = [x.astype("<u4").tobytes() for x in own.encode_column(b.column(b.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(ids, pa.binary())], names=[*keep, out])
 
     from pyspark.sql import types as T
@@ -225,9 +295,9 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         own = encoder(path)
         for b in batches:
             n, one, two = [], [], []
-            for t in b.column(1):
-                ids = own.encode(t.as_py())
-                n.append(len(ids) // 4)
+            for x in own.encode_column(b.column(1)):
+                ids = x.astype("<u4").tobytes()
+                n.append(len(x))
                 one.append(hashlib.sha256(ids).hexdigest())
                 two.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])

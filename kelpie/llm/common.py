@@ -126,9 +126,14 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20):
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the rows, and for each row the first word's index (n+1 long)."""
-    n = len(raw)
+    return placed_words(raw, offsets, lower)[:2]
+
+
+def placed_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), with the place and the length in bytes of each word."""
+    n, none = len(raw), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     inside = ~SPACE[raw]
     before = np.empty(n, bool)
     before[0] = False
@@ -136,7 +141,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     before[offsets[:-1][offsets[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     held = np.flatnonzero(inside)
     first = np.searchsorted(held, starts)
     lengths = np.diff(first, append=len(held))
@@ -144,7 +149,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     letters = (LOWER[raw] if lower else raw)[held].astype(np.uint64)
     letters += np.uint64(1)
     letters *= powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(letters, first)), np.searchsorted(starts, offsets).astype(np.int64)
+    return mix(np.add.reduceat(letters, first)), np.searchsorted(starts, offsets).astype(np.int64), starts, lengths
 
 
 def text_or_empty(name: str = "text"):

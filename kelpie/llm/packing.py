@@ -37,11 +37,11 @@ def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFra
     wide = "<u2" if bpe.encoder(path).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def run(batches):
-        own, last = bpe.encoder(path), np.array([end], "<u4").tobytes()
+        own, last = bpe.encoder(path), np.array([end], wide)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                ids = [np.frombuffer(own.encode(t.as_py()) + last, "<u4").astype(wide).tobytes() for t in part.column(1)]
+                ids = [np.concatenate([x.astype(wide), last]).tobytes() for x in own.encode_column(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary")

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.llm.common import own_name
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most so many labelled rows (in expectation) are fitted on; they are chosen by a hash of the id.
 SAMPLE = 20_000
@@ -164,4 +166,7 @@ def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that neither the base rule nor a learned rule rejects, with docs' columns."""
-    return judged(docs, learn(docs, labels)).where("_kept").select(*docs.columns)
+    out = judged(docs, learn(docs, labels))
+    # a filter would be moved below the statistics, and each use of a statistic would be written out in it; a generator stays above
+    one = own_name(docs, "_one")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(F.col("_kept"), F.array(F.lit(1)))).alias(one)).drop(one)

@@ -129,7 +129,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = durable(rows.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
     tied = rows.select("node", "hub") if links is None else rows.join(links.select(F.col(key).alias("key"), F.col("hub").alias("h2")), "key").select("node", F.col("h2").alias("hub"))
     start = rows.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label"))
-    several = tied.groupBy("hub").agg(F.count("node").alias("c")).where("c > 1")
+    several = durable(tied.groupBy("hub").agg(F.count("node").alias("c")).where("c > 1"))  # written, so that the join can split hot hubs
     linked = durable(tied.join(several, "hub").select("node").distinct())
     moved = propagate(start.join(linked, "node"), tied, shards, rows.count() / shards, rounds)
     alone = start.join(linked, "node", "left_anti")

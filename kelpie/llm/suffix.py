@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, column_bytes, discard, durable, mix
+from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix
 
 #: Segments of one collection, unless one anchor alone has more.
 COLLECTION = 8192
@@ -110,7 +110,7 @@ def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
                         take = pa.array(r)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pos.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(seg.view(np.int64))], names=["key", "th", "pos", "anchor", "segment"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, th long, pos long, anchor long, segment long")
+    return docs.mapInArrow(lean(run), f"key {docs.schema['key'].dataType.simpleString()}, th long, pos long, anchor long, segment long")
 
 
 # ---------------------------------------------------------------- the transform, column by column
@@ -255,8 +255,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
     table = durable(anchor_table(rows.where(F.octet_length("text") >= least), least, gram))
+    # written first: a join of two exchanges is one whose hot anchors Spark can split
     shared = table.groupBy("anchor").agg(F.count("pos").alias("c"), F.min("segment").alias("lo"), F.max("segment").alias("hi")).where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    met = durable(table.join(shared, "anchor"))
+    met = durable(table.join(durable(shared), "anchor"))
     discard(table)
     left = least - gram
     # equal segments, once each, with a count; those met more than once are repeated as a whole
@@ -275,9 +276,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.binary()])], names=["anchor", "segment", "at", "bytes"])
 
     both = rows.alias("r").join(need.alias("n"), F.col("r.key").eqNullSafe(F.col("n.key")) & (F.col("r.th") == F.col("n.th")))
-    segments = both.select("n.a", "r.text").mapInArrow(cut, "anchor long, segment long, at long, bytes binary")
+    segments = both.select("n.a", "r.text").mapInArrow(lean(cut), "anchor long, segment long, at long, bytes binary")
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    found = durable(dealt.mapInArrow(lambda batches: _collections(batches, least, gram), "anchor long, segment long, spans binary"))
+    found = durable(dealt.mapInArrow(lean(lambda batches: _collections(batches, least, gram)), "anchor long, segment long, spans binary"))
     whole = met.where(~F.col("mixed")).select("key", "th", F.struct("pos", F.lit(None).cast("binary").alias("spans")).alias("x"))
     often = met.where("mixed").join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("key", "th", F.struct("pos", F.lit(None).cast("binary").alias("spans")).alias("x"))
     parts = kinds.where("n = 1").join(found, ["anchor", "segment"]).select("key", "th", F.struct("pos", "spans").alias("x"))
@@ -309,7 +310,7 @@ def with_spans(docs: DataFrame, work, schema: str, columns: list[str], key: str,
             spans = [row_spans(x, int(at[i + 1] - at[i]), least, gram) for i, x in enumerate(b.column(len(columns)).to_pylist())]
             yield work(b, [(raw[at[i] : at[i + 1]], s) for i, s in enumerate(spans)])
 
-    return joined.select(*[F.col(f"r.`{c}`") for c in columns], "f.xs").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"r.`{c}`") for c in columns], "f.xs").mapInArrow(lean(run), schema)
 
 
 def kept_bytes(raw: np.ndarray, spans: np.ndarray) -> bytes:

@@ -25,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kelpie.llm.common import blocks, column_bytes, placed_words
+from kelpie.llm.common import blocks, column_bytes, lean, placed_words
 
 #: Parts longer than this many characters are encoded as a tree; leaves are half as long at least.
 LEAF = 4096
 #: Entries of the table of encoded parts in a worker; it starts anew when full.
 TABLE = 300_000
 #: Slots of the table that whole columns use, and ids that its words may take; it starts anew beyond.
-SLOTS, POOL = 1 << 21, 1 << 24
+SLOTS, POOL = 1 << 20, 1 << 23
 #: The word pattern of this family of tokenizers, and what it is for characters of which each is its own normal form.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
@@ -269,7 +269,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     from pyspark.sql import types as T
 
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(out, T.BinaryType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -284,7 +284,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(out, T.StringType())]))
+    return df.mapInArrow(lean(run), T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(out, T.StringType())]))
 
 
 def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,4 +302,4 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                 two.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return df.select(key, text).mapInArrow(lean(run), T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

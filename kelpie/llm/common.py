@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -152,6 +153,26 @@ def placed_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return mix(np.add.reduceat(letters, first)), np.searchsorted(starts, offsets).astype(np.int64), starts, lengths
 
 
+def lean(run):
+    """run(batches) whose worker gives freed memory back when its task is over: workers live on, and several share an executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import LOWER, blocks, column_bytes
+from kelpie.llm.common import LOWER, blocks, column_bytes, lean
 
 WIDTH = 1 << 12
 #: Rows of each language that centroids are fitted on, in expectation; all rows where there are fewer.
@@ -65,7 +65,7 @@ def _frequencies(rows: DataFrame) -> DataFrame:
             n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.flatnonzero(seen), -1]), pa.array(np.r_[seen[seen > 0], n])], names=["dim", "n"])
 
-    return rows.select("text").mapInArrow(run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n"))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
         c, r = k_means(x, k)
         return pa.table({"lang": [t.column("lang")[0].as_py()] * len(c), "c": [y.astype(np.float32).tobytes() for y in c], "r": r.astype(np.float64)})
 
-    found = sorted(tuple(r) for r in chosen.select("text", "lang").mapInArrow(vec, "lang string, v binary").groupBy("lang").applyInArrow(cluster, "lang string, c binary, r double").collect())
+    found = sorted(tuple(r) for r in chosen.select("text", "lang").mapInArrow(lean(vec), "lang string, v binary").groupBy("lang").applyInArrow(cluster, "lang string, c binary, r double").collect())
     return {"idf": idf, "langs": [f[0] for f in found], "centroids": np.stack([np.frombuffer(f[1], np.float32) for f in found]) if found else np.zeros((0, WIDTH), np.float32), "radius": np.array([f[2] for f in found])}
 
 
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", columns: tuple[str
 
     from pyspark.sql import types as T
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType()), T.StructField(columns[2], T.BooleanType())]))
+    return src.mapInArrow(lean(run), T.StructType([*src.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType()), T.StructField(columns[2], T.BooleanType())]))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import LOWER, blocks, column_bytes, discard, durable, mix, words  # noqa: F401
+from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix, words
 from kelpie.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -110,7 +110,7 @@ def features(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (ids, bands, sketch)]], names=[key, "n_shingles", "set_hash", "bands", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_hash binary, bands binary, sketch binary")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_shingles long, set_hash binary, bands binary, sketch binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bk", "sid"])
 
-    return nodes.select("sid", "bands").mapInArrow(run, "bk long, sid long")
+    return nodes.select("sid", "bands").mapInArrow(lean(run), "bk long, sid long")
 
 
 def _apart(members: DataFrame, larger_than: int | None) -> DataFrame:
@@ -147,7 +147,7 @@ def _prefix_pairs(rest: DataFrame, test: _Verifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)], names=["sid", "s"])
 
     ids = rest.select("sid")
-    sets = durable(test.sets(ids).join(ids, "sid", "left_semi").dropDuplicates(["sid"]).mapInArrow(longs, "sid long, s array<long>"))
+    sets = durable(test.sets(ids).join(ids, "sid", "left_semi").dropDuplicates(["sid"]).mapInArrow(lean(longs), "sid long, s array<long>"))
     each = sets.select("sid", F.explode("s").alias("token"))
     often = each.groupBy("token").agg(F.count("sid").alias("df")).where("df > 1")
     shared = each.join(often, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
@@ -187,7 +187,7 @@ class _Verifier:
                     hit = pa.array((x == y).sum(1) >= AGREE * WIDTH)
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(hit)
 
-        return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(sid, s): the full shingle sets, sorted 64-bit hashes, of the nodes ids(sid) and others. Equal rows of documents repeat them."""
@@ -206,7 +206,7 @@ class _Verifier:
 
         rows = self.docs.select(F.col(self.key).alias("rep"), F.col(self.text).alias("_text")).where("rep is not null")
         # up to SMALL nodes are sent to the texts; more of them are joined by a shuffle of both
-        found = durable(rows.join(F.broadcast(need) if n <= SMALL else need, "rep").select("sid", "set_hash", "_text").mapInArrow(run, "sid long, s binary"))
+        found = durable(rows.join(F.broadcast(need) if n <= SMALL else need, "rep").select("sid", "set_hash", "_text").mapInArrow(lean(run), "sid long, s binary"))
         discard(need)
         self.known = found if self.known is None else self.known.unionByName(found)
         return self.known
@@ -229,7 +229,7 @@ class _Verifier:
                     hit.append(100 * same >= percent * (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-        out = durable(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct())
+        out = durable(both.select("a", "b", "sa", "sb").mapInArrow(lean(exact), "a long, b long").distinct())
         discard(likely)
         return out
 

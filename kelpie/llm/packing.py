@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm import bpe
-from kelpie.llm.common import durable, mix
+from kelpie.llm.common import durable, lean, mix
 
 WINDOW = 2048
 SHARD = 2048
@@ -44,7 +44,7 @@ def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFra
                 ids = [np.concatenate([x.astype(wide), last]).tobytes() for x in own.encode_column(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {docs.schema[key].dataType.simpleString()}, ids binary")
     out.wide = wide  # type: ignore[attr-defined]
     return out
 
@@ -67,7 +67,7 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], n, total])], names=["term", "n"])
 
-    got = {r.term: r.n for r in table.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    got = {r.term: r.n for r in table.select("ids").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = got.pop(-1, 0), got.pop(-2, 0)
     df = np.zeros(max(got, default=0) + 1, np.int64)
     df[list(got)] = list(got.values())
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
                     out.append((shard, second >> 1, len(ids), np.array(crcs, "<u4").tobytes(), ids[whole * window :].tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]], names=["key", "shard", "near", "n", "crcs", "rest"])
 
-    dealt = table.mapInArrow(rest, f"key {kind}, shard long, near long, n long, crcs binary, rest binary").repartition(parts, "shard").sortWithinPartitions("shard", "near", "key", "n")
+    dealt = table.mapInArrow(lean(rest), f"key {kind}, shard long, near long, n long, crcs binary, rest binary").repartition(parts, "shard").sortWithinPartitions("shard", "near", "key", "n")
 
     def fill(batches):
         from pyspark import TaskContext
@@ -220,4 +220,4 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
             yield work()
 
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return dealt.select("key", "n", "crcs", "rest").mapInArrow(fill, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return dealt.select("key", "n", "crcs", "rest").mapInArrow(lean(fill), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names[1:]))

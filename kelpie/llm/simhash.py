@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, column_bytes, discard, durable, mix, words
+from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix, words
 
 BITS = 256
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, *[T.StructField(p, T.LongType()) for p in PARTS]]))
+    return src.mapInArrow(lean(run), T.StructType([*src.schema.fields, *[T.StructField(p, T.LongType()) for p in PARTS]]))
 
 
 def as_hex(parts=PARTS) -> Column:
@@ -154,7 +154,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         if held:
             yield row("last", held[0], held[1])
 
-    table = durable(dealt.mapInArrow(run, one + ", what string, pid long, text string"))
+    table = durable(dealt.mapInArrow(lean(run), one + ", what string, pid long, text string"))
     # one row a range: which range follows which is a list as long as the ranges are many
     order = sorted(r.pid for r in table.where("what = 'first'").select("pid").collect())
     done = table.where("what = 'done'").select(*names)
@@ -170,7 +170,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 texts, heads = b.column(1).to_pylist(), b.column(2).to_pylist()
                 yield pa.RecordBatch.from_arrays([b.column(0), *pairs(b.column(0).to_pylist(), texts, heads, fingerprints(texts), fingerprints(heads))], names=names)
 
-    return done.unionByName(ends.mapInArrow(close, one))
+    return done.unionByName(ends.mapInArrow(lean(close), one))
 
 
 __all__ = ["edited", "fingerprint", "fingerprints", "search", "as_hex", "discard"]

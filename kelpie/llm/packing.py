@@ -28,8 +28,6 @@ SHARD = 2048
 K1, B = 1.5, 0.75
 #: Most telling terms that choose a shard; terms of a seed's query.
 TELLING, QUERY = 8, 24
-#: After so many neighbours, one that doesn't fit is cut rather than a smaller one looked for.
-LOOK = 32
 
 
 def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
@@ -74,19 +72,6 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
     return df, n, total / max(n, 1)
 
 
-def nearest(score: np.ndarray):
-    """Indices by falling score, ties by place; the best LOOK are found without sorting the others."""
-    if len(score) > 4 * LOOK:
-        best = np.argpartition(-score, LOOK)[:LOOK]
-        best = best[np.lexsort((best, -score[best]))]
-        yield from best.tolist()
-        rest = score.copy()
-        rest[best] = -np.inf
-        yield from np.argsort(-rest, kind="stable")[: len(score) - LOOK].tolist()
-    else:
-        yield from np.argsort(-score, kind="stable").tolist()
-
-
 def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (rest, begin, length) over all ids of the rests; every window but the last is full."""
     n = len(rests)
@@ -123,24 +108,21 @@ def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
             ask = terms[seed][np.argsort(-w, kind="stable")[:QUERY]]
             spans = [where[t] for t in ask.tolist()]
             score = np.bincount(np.concatenate([pdoc[a:b] for a, b in spans]), np.concatenate([pweight[a:b] for a, b in spans]), minlength=n)
-            looked = 0
             score[used] = -1
             cut = -1
-            for d in nearest(score):
+            while room:
+                d = int(score.argmax())  # of equal ones the first
                 if score[d] < 0:
                     break
-                if cut >= 0 and looked >= LOOK:
-                    break
-                looked += 1
-                left = int(size[d])
-                if left <= room:
+                if size[d] <= room:
                     used[d] = True
-                    now.append((d, 0, left))
-                    room -= left
-                    if not room:
-                        break
+                    now.append((d, 0, int(size[d])))
+                    room -= int(size[d])
+                    score[d] = -1
                 elif cut < 0:
                     cut = d
+                if cut >= 0:
+                    score[size > room] = -1  # room only falls, so these never fit
             if room and cut >= 0:  # nothing that fits is left: the nearest of the others is cut
                 used[cut] = True
                 now.append((cut, 0, room))

@@ -63,5 +63,13 @@ def test_neighbours_share_terms():
     assert pure > 0.7 * len(windows)
 
 
+def test_every_free_neighbour_is_tried():
+    # the nearest 60 don't fit beside the seed; two that fill the window come after them
+    near = [np.r_[np.zeros(600), np.full(300, 1)].astype(np.uint16) for _ in range(60)]
+    seed, small = np.zeros(1800, np.uint16), [np.r_[np.zeros(1), np.full(123, 2 + k)].astype(np.uint16) for k in range(2)]
+    windows = packing.pack_run([seed, *near, *small], np.ones(4, np.float32), 900.0, 2048)
+    assert [d for d, _, _ in windows[0]] == [0, 61, 62]
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark).limit(0), bpe.vocabulary()).count() == 0

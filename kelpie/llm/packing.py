@@ -26,8 +26,8 @@ from kelpie.llm.common import durable, lean, mix
 WINDOW = 2048
 SHARD = 2048
 K1, B = 1.5, 0.75
-#: Most telling terms that choose a shard; terms of a seed's query.
-TELLING, QUERY = 8, 24
+#: Most telling terms that choose a shard.
+TELLING = 8
 
 
 def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
@@ -87,7 +87,6 @@ def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
     pterm, pdoc, pweight = allt[order], docs[order], weight[order]
     starts = np.flatnonzero(np.r_[True, pterm[1:] != pterm[:-1]])
     where = {int(t): (a, b) for t, a, b in zip(pterm[starts], starts, np.r_[starts[1:], len(pterm)], strict=True)}
-    bounds = np.r_[0, np.cumsum([len(t) for t in terms])]
     begin, used = np.zeros(n, np.int64), np.zeros(n, bool)
     by_size, head = np.argsort(-size, kind="stable"), 0
     windows = []
@@ -104,9 +103,7 @@ def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
         used[seed] = True
         now, room = [(seed, int(begin[seed]), int(size[seed] - begin[seed]))], window - int(size[seed] - begin[seed])
         if room:
-            w = weight[bounds[seed] : bounds[seed + 1]]
-            ask = terms[seed][np.argsort(-w, kind="stable")[:QUERY]]
-            spans = [where[t] for t in ask.tolist()]
+            spans = [where[t] for t in terms[seed].tolist()]
             score = np.bincount(np.concatenate([pdoc[a:b] for a, b in spans]), np.concatenate([pweight[a:b] for a, b in spans]), minlength=n)
             score[used] = -1
             cut = -1

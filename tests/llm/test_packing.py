@@ -71,5 +71,13 @@ def test_every_free_neighbour_is_tried():
     assert [d for d, _, _ in windows[0]] == [0, 61, 62]
 
 
+def test_all_terms_of_a_seed_count():
+    # the seed shares its 24 heaviest terms with nobody, and lighter ones with the last row only
+    seed = np.r_[np.repeat(np.arange(24), 10), np.arange(24, 100)].astype(np.uint16)
+    others = [np.full(70, 200 + k, np.uint16) for k in range(12)]
+    windows = packing.pack_run([seed, *others, np.arange(24, 100, dtype=np.uint16)], np.ones(300, np.float32), 150.0, 400)
+    assert [d for d, _, _ in windows[0]][:2] == [0, 13]
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark).limit(0), bpe.vocabulary()).count() == 0

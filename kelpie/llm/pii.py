@@ -28,7 +28,7 @@ BASE = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Patterns of further candidates, on which only the classifier decides.
 MORE = {
-    "secret": r"(?<![A-Za-z0-9_])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey|[Kk]ey)[=:]\x20?[A-Za-z0-9_/+-]{8,256}+",
+    "secret": r"(?<![A-Za-z0-9_])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey|[Kk]ey)[=:]\x20?[A-Za-z0-9_/+-]{8,}+",
     "number": r"(?<![0-9+.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9.-])",
 }
 KINDS = (*BASE, *MORE)

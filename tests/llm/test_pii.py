@@ -47,6 +47,14 @@ def test_secrets_are_added_and_redaction_takes_effect(spark):
     assert untouched == 0
 
 
+def test_long_secret_is_one_span(spark):
+    docs = spark.createDataFrame([(k, f"login token={'a1B2' * n} end") for k, n in enumerate((4, 64, 65, 200, 5000))], "doc_id long, text string")
+    df = pii.candidates(docs)
+    for r in df.select("doc_id", F.filter("_spans", pii.of_kind("secret")).alias("s"), F.length("text").alias("n")).collect():
+        assert [(x.start, x.end) for x in r.s] == [(6, r.n - 4)]
+    assert {r.text for r in pii.redact(docs).collect()} == {"login [SECRET] end"}
+
+
 def test_odd_rows(spark):
     df = frame(spark)
     out = {r.doc_id: r.text for r in pii.redact(df).collect()}

@@ -14,7 +14,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_within: for ids divisible by 20, the texts whose fingerprints differ in 7 of 256 bits at most."""
+    """n_within: for ids divisible by 20, the texts whose fingerprints differ in simhash.RADIUS of 256 bits at most."""
     out = durable(simhash.edited(read(spark, sf_dir, "documents")))
     asked = out.where("key % 20 = 0")
     near = simhash.search(out.select(*simhash.PARTS), asked)

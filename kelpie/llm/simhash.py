@@ -4,9 +4,10 @@ Terms are the three-word shingles of a text (the single words of a shorter one),
 whole part of the binary logarithm of its count. Its 256-bit hash votes with that weight, per bit for or against; the
 sign of the sum is the fingerprint's bit. Null and empty texts have no terms and the fingerprint of zeros.
 
-Search: a fingerprint is cut into blocks. Two within `radius` bits agree on at least blocks - radius blocks, so a
-table for each choice of that many blocks, keyed by them (a permutation brings them to the front), finds all. Equal fingerprints are
-one row with a count.
+Search: for a small radius a fingerprint is cut into blocks. Two within `radius` bits agree on at least blocks - radius blocks, so a
+table for each choice of that many blocks, keyed by them (a permutation brings them to the front), finds all. Near copies lie
+further apart than such keys reach (RADIUS), so without blocks every query is compared with every fingerprint. Equal
+fingerprints are one row with a count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix,
 
 BITS = 256
 SHINGLE = 3
+#: Of 965 documents of sf0.01 edited until their five-word Jaccard was just 0.8, 99.9 % lie within 45 bits of the original (1.5 % within 7).
+RADIUS = 45
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 PARTS = ("f0", "f1", "f2", "f3")
 
@@ -76,11 +79,16 @@ def as_hex(parts=PARTS) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.col(p)), 16, "0") for p in parts]))
 
 
-def search(fps: DataFrame, queries: DataFrame, radius: int = 7, n_blocks: int = 8) -> DataFrame:
-    """(f0..f3, n_within): for each distinct query fingerprint, the rows of fps within `radius` bits, itself included.
+def matches(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, n_blocks: int | None = None) -> DataFrame:
+    """(q0..q3, f0..f3, n, bits): for each distinct query fingerprint, the distinct ones of fps within `radius` bits, itself
+    included, with the number of their rows and their distance.
 
-    n_blocks above the radius: keys are n_blocks - radius blocks long, tables are the choices of so many blocks.
+    n_blocks, if given, is above the radius: keys are n_blocks - radius blocks long, tables are the choices of so many blocks.
     """
+    rows = fps.groupBy(*PARTS).agg(F.count("*").alias("n"))
+    asked = queries.select(*PARTS).distinct()
+    if n_blocks is None:
+        return _scan(rows, asked, radius)
     width = 256 // n_blocks
     cuts = [(b, width if b + 1 < n_blocks else 256 - width * (n_blocks - 1)) for b in range(n_blocks)]
     text = F.concat(*[F.lpad(F.bin(F.col(p)), 64, "0") for p in PARTS])
@@ -90,11 +98,58 @@ def search(fps: DataFrame, queries: DataFrame, radius: int = 7, n_blocks: int =
         tables = [F.xxhash64(F.lit(k), *[piece[b] for b in chosen]) for k, chosen in enumerate(combinations(range(n_blocks), n_blocks - radius))]
         return df.withColumn("bk", F.explode(F.array(*tables)))
 
-    rows = tabled(fps.groupBy(*PARTS).agg(F.count("*").alias("n")))
-    asked = tabled(queries.select(*PARTS).distinct()).select("bk", *[F.col(p).alias(p.replace("f", "q")) for p in PARTS])
+    asked = tabled(asked).select("bk", *[F.col(p).alias(p.replace("f", "q")) for p in PARTS])
     bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(p.replace("f", "q")))) for p in PARTS), F.lit(0))
-    # several tables can find the same pair, so pairs are made distinct before their rows are counted
-    near = rows.join(asked, "bk").where(bits <= radius).select(*PARTS, "n", "q0", "q1", "q2", "q3").distinct()
+    # several tables can find the same pair
+    return tabled(rows).join(asked, "bk").where(bits <= radius).select("q0", "q1", "q2", "q3", *PARTS, "n", bits.cast("long").alias("bits")).distinct()
+
+
+def _scan(rows: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """matches() by comparing all pairs, block by block: work grows with rows times queries."""
+
+    def packed(df: DataFrame, size: int, name: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, size):
+                    part = b.slice(lo, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in part.columns]).tobytes()], pa.binary())], names=[name])
+
+        return df.mapInArrow(lean(run), f"{name} binary")
+
+    def run(batches):
+        def batch(q, hits):
+            at, bits = (np.concatenate([h[k] for h in hits]) for k in (1, 2))
+            own = q[:, np.repeat([h[0] for h in hits], [len(h[1]) for h in hits])].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *x[:, at].view(np.int64), n[at], bits)], names=names)
+
+        for b in batches:
+            for xs, qs in zip(b.column(0), b.column(1), strict=True):
+                x, q = np.frombuffer(xs.as_py(), np.uint64).reshape(5, -1), np.frombuffer(qs.as_py(), np.uint64).reshape(4, -1)
+                x, n = x[:4], x[4].view(np.int64)
+                hits, many = [], 0
+                for k in range(q.shape[1]):
+                    half = np.bitwise_count(x[0] ^ q[0, k]) + np.bitwise_count(x[1] ^ q[1, k])
+                    at = np.flatnonzero(half <= radius)
+                    bits = np.bitwise_count(x[:, at] ^ q[:, k, None]).sum(0, dtype=np.int64)
+                    at, bits = at[bits <= radius], bits[bits <= radius]
+                    if len(at):
+                        hits.append((k, at, bits))
+                        many += len(at)
+                    if many >= 1 << 16:
+                        yield batch(q, hits)
+                        hits, many = [], 0
+                if hits:
+                    yield batch(q, hits)
+
+    names = [*[f"q{k}" for k in range(4)], *PARTS, "n", "bits"]
+    count = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = packed(rows.select(*PARTS, "n").repartition(count), 4096, "x").crossJoin(F.broadcast(packed(asked, 1024, "q")))
+    return both.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
+
+
+def search(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, n_blocks: int | None = None) -> DataFrame:
+    """(f0..f3, n_within): for each distinct query fingerprint, the rows of fps within `radius` bits, itself included (see matches)."""
+    near = matches(fps, queries, radius, n_blocks)
     return near.groupBy("q0", "q1", "q2", "q3").agg(F.sum("n").alias("n_within")).withColumnsRenamed({f"q{k}": f"f{k}" for k in range(4)})
 
 
@@ -173,4 +228,4 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return done.unionByName(ends.mapInArrow(lean(close), one))
 
 
-__all__ = ["edited", "fingerprint", "fingerprints", "search", "as_hex", "discard"]
+__all__ = ["edited", "fingerprint", "fingerprints", "matches", "search", "as_hex", "discard"]

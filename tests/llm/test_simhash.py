@@ -56,6 +56,27 @@ def test_search_finds_all_within_radius(spark):
         assert got == want
 
 
+def test_near_copies_are_found(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).select("text").collect()]
+    texts = [t for t in texts if t and len(t.split()) >= 100]
+    copies = []
+    for t in texts:
+        w = t.split()
+        w[len(w) // 3] = "changed"
+        w[2 * len(w) // 3] = "twice"
+        copies.append(" ".join(w))
+    one, two = simhash.fingerprints(texts), simhash.fingerprints(copies)
+    df = lambda f: spark.createDataFrame([tuple(map(int, r)) for r in f.view(np.int64)], "f0 long, f1 long, f2 long, f3 long")
+    got = {tuple(r)[:8]: (r.n, r.bits) for r in simhash.matches(df(two), df(one)).select("q0", "q1", "q2", "q3", "f0", "f1", "f2", "f3", "n", "bits").collect()}
+    want = {}
+    for q in one:
+        d = np.bitwise_count(two ^ q).sum(1)
+        for i in np.flatnonzero(d <= simhash.RADIUS):
+            want[(*q.view(np.int64).tolist(), *two[i].view(np.int64).tolist())] = (int((two == two[i]).all(1).sum()), int(d[i]))
+    assert got == want
+    assert all((*a.view(np.int64).tolist(), *b.view(np.int64).tolist()) in got for a, b in zip(one, two, strict=True))
+
+
 def test_fingerprint_replaces_clashing_columns(spark):
     out = simhash.fingerprint(frame(spark).withColumn("f0", F.lit("x"))).collect()
     assert len({(r.f0, r.f1, r.f2, r.f3) for r in out if r.text in (None, "", " ")}) == 1

@@ -1,6 +1,5 @@
 import hashlib
 import random
-import tempfile
 
 import numpy as np
 from hypothesis import given, settings
@@ -33,25 +32,50 @@ def check(spark, texts):
     assert sorted(tuple(x) for x in suffix.digest(df).collect()) == want
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.text("abc", max_size=9), st.integers(0, 3)), min_size=1, max_size=9), st.integers(2, 5))
-def test_rounds_sort_suffixes_of_each_column(strings, block):
-    with tempfile.TemporaryDirectory() as folder:
-        c = suffix.Collection(folder, 12, block)
-        full = []
-        for s, at in strings:
-            c.add(at, s.encode())
-            full.append(b"\0" * at + bytes(x + 1 for x in s.encode()) + b"\0" * (12 - at - len(s)))
-        c.close()
-        seen = 0
-        for j, order, lcp in suffix.rounds(c, 5):
-            tails = [full[r][j:] for r in order]
-            assert tails == sorted(f[j:] for f in full)
-            for n in range(1, len(tails)):
-                same = next((k for k, (x, y) in enumerate(zip(tails[n - 1], tails[n])) if x != y), 5)
-                assert min(5, lcp[n]) == min(5, same)
+def suffixes(before, core, behind, width):
+    """A document's suffixes by column: bytes, the core as one symbol over all bytes, bytes."""
+    whole = [*before.encode(), 1000 + core, *behind.encode()]
+    return {width - len(before) + k: whole[k:] for k in range(len(whole))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=6), st.integers(0, 2), st.text("ab", max_size=6)), min_size=1, max_size=14), st.integers(1, 5))
+def test_rounds_insert_into_the_collection(strings, per_pass):
+    """Every round: all suffixes so far are in order, and common prefixes of neighbours are right (up to a window)."""
+    width = 6
+    symbols = np.array([[0] * (width - len(x)) + [c + 1 for c in x.encode()] + [c + 1 for c in y.encode()] + [0] * (width - len(y)) for x, _, y in strings], np.uint8)
+    core = np.array([c for _, c, _ in strings])
+    every = [suffixes(*s, width) for s in strings]
+    files = suffix.Files()
+    placed = [[] for _ in strings]  # the empty suffixes
+    seen = 0
+    for j, docs, new, prefix in suffix.collection(symbols, core, files, per_pass):
+        assert sorted(docs) == [d for d, e in enumerate(every) if j in e]
+        for n, d in sorted(zip(new, docs)):
+            placed.insert(n, every[d][j])
             seen += 1
-        assert seen == 12
+        assert placed == sorted(placed)
+        for n in range(1, len(placed)):
+            same = next((k for k, (x, y) in enumerate(zip(placed[n - 1], placed[n])) if x != y), min(len(placed[n - 1]), len(placed[n])))
+            assert prefix[n] == min(width + 1, same)
+    assert seen == sum(map(len, every))
+    hits = suffix.repeated_windows(symbols, core, files)
+    files.close()
+    for d, (x, c, y) in enumerate(strings):
+        for k in range(width + 1):
+            mine = (x[len(x) - k :], c, y[: width - k]) if len(x) >= k and len(y) >= width - k else None
+            again = mine and any((u[len(u) - k :], v, w[: width - k]) == mine and len(u) >= k for e, (u, v, w) in enumerate(strings) if e != d)
+            assert bool(hits[d] >> k & 1) == bool(again)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=2, max_size=700), st.randoms())
+def test_least_of_far_ranges(values, rng):
+    x = np.array(values, np.uint8)
+    pairs = sorted(tuple(sorted(rng.sample(range(len(x)), 2))) for _ in range(40))
+    a, b = np.array(pairs).T
+    want = [min(values[i + 1 : j + 1]) for i, j in pairs]
+    assert suffix._far_ranges(x, a, b).tolist() == want == suffix._ranges(x, a, b).tolist()
 
 
 def test_matches_brute_force(spark):
@@ -76,11 +100,29 @@ def test_remove_and_long_texts(spark):
     out = {r.doc_id: r.text for r in suffix.remove(df).collect()}
     assert out[0] is None and out[1] == "" and out[3] == "é" and out[2] == long[:500] + long[900:] and out[4] == "keep me"
     assert suffix.remove(df.limit(0)).count() == 0 and suffix.remove(df).columns == df.columns
-    old, suffix.CHUNK = suffix.CHUNK, 700
-    try:
-        at = np.array([0, 3000])
-        raw = np.frombuffer(long.encode(), np.uint8)
-        whole = suffix.anchors(raw, at, 200, 50)
-        assert len(whole[0]) > 10
-    finally:
-        suffix.CHUNK = old
+    # long texts go through in chunks: the same anchors, and the same result, as in one piece
+    rows = df.select(df.doc_id.alias("key"), df.n_chars.cast("long").alias("th"), "text").where("text is not null")
+    whole, parts = (sorted(tuple(r) for r in suffix.anchor_table(rows, 200, 50, chunk).collect()) for chunk in (1 << 22, 700))
+    assert whole == parts and len(whole) > 20
+    assert sorted(map(tuple, suffix.digest(df).collect())) == sorted(map(tuple, suffix.digest(df, chunk=700).collect()))
+
+
+def test_hot_anchors_by_finer_classes(spark):
+    """Many texts share a passage and differ around it: with a low bound every anchor counts as crowded."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(260)
+    texts = [text(rng.randrange(60, 200)) + shared[rng.randrange(60) : 260 - rng.randrange(60)] + text(rng.randrange(60, 200)) for _ in range(40)]
+    texts += texts[:3]
+    df = frame(spark, texts, extra=False)
+    raw, gone = brute([*texts, *texts[:2]])
+    want = sorted((d % len(texts), int(g.sum())) for d, g in enumerate(gone))
+    for hot in (1000, 1):
+        assert sorted((r.doc_id, r.n_removed) for r in suffix.digest(df, hot=hot).collect()) == want
+
+
+def test_clashing_names(spark):
+    df = frame(spark, ["x" * 500, None, "y"], extra=False).withColumnsRenamed({"lang": "th", "source": "_th", "n_chars": "xs"})
+    out = suffix.remove(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", r.th, r._th) for r in out.collect()) == [(0, "", "en", "src0"), (0, "", "en", "src0"), (1, "", "en", "src0"), (1, "", "en", "src0"), (2, "y", "en", "src0")]

@@ -1,14 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut at spaces and line breaks, where no token can reach across; each part is encoded once and then
-taken from a bounded table. A part that stays long (text without spaces) is encoded by halves, in parallel
-threads, down to leaves, and the halves are joined: a window around the join is encoded anew and grows until a
-token of it agrees with the left half and another with the right half (same place, same id). Neighbouring
-tokens of the joined sequence are then neighbours in some encoding, which is what makes a BPE sequence the one
-the tokenizer itself gives.
+A long text is halved until its pieces are leaves. All leaves of a block of rows are encoded together, then neighbours are joined: a
+window around the join is encoded anew and grows until it agrees with the left half at its beginning and with the right half
+at its end. Between white space, where no token can reach across, whole words are compared; in a long part without spaces a token of the window
+must agree with the left half and another with the right half (same place, same id). Neighbouring tokens of the joined
+sequence are then neighbours in some encoding, which is what makes a BPE sequence the one the tokenizer itself gives.
+Leaves are encoded word by word from a bounded table of words, whose letters are compared, not only their hashes.
 
 Null and empty texts give no ids. Ids of a vocabulary with up to 2**32 entries are kept as little-endian
-unsigned 32-bit integers.
+unsigned 32-bit integers. Rows that repeat give equal ids, and a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kelpie.llm.common import blocks, column_bytes, lean, placed_words
+from kelpie.llm.common import HEAD, LONG, blocks, column_bytes, eights, lean, placed_words
 
-#: Parts longer than this many characters are encoded as a tree; leaves are half as long at least.
-LEAF = 4096
+#: Texts longer than this are encoded as a tree; leaves are half as long at least.
+LEAF = 2048
+#: Words of each side in the first window around a join.
+WORDS = 2
+BLANKS = dict.fromkeys(range(9, 14), " ")
 #: Entries of the table of encoded parts in a worker; it starts anew when full.
 TABLE = 300_000
 #: Slots of the table that whole columns use, and ids that its words may take; it starts anew beyond.
@@ -52,6 +55,7 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf = leaf
+        self.joins = 0
         self.token = {}
         self.decoded: dict[bytes, bytes] = {}
         # parts may be encoded apart only where white space never enters a token
@@ -127,66 +131,154 @@ class Encoder(dict):
     # ------------------------------------------------------------ whole columns
 
     def _fresh(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.pool, self.filled, self.known = np.zeros(1 << 20, np.uint32), 0, 0
+        # slots hold a hash and the number of a word; words have a place and a size in the pool of ids, and their letters
+        self.hashes, self.word, self.known = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), 0
+        self.at, self.size, self.head, self.spelt, self.letters = (np.zeros(SLOTS, t) for t in (np.int32, np.int32, np.uint64, np.int64, np.int32))
+        self.pool, self.filled = np.zeros(1 << 20, np.uint32), 0
+        self.spelling, self.written = np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slots of word hashes in the open table, -1 where there is none."""
-        mask = np.uint64(SLOTS - 1)
-        slot, out, todo = (h & mask).astype(np.int64), np.full(len(h), -1), np.arange(len(h))
-        while len(todo):
-            there = self.hashes[slot[todo]]
+        """Numbers of words by their hashes in the open table, -1 where there is none."""
+        slot, out, todo = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.full(len(h), -1, np.int32), np.arange(len(h))
+        there, same = self.hashes[slot], None
+        while True:
             same = there == h[todo]
-            out[todo[same]] = slot[todo[same]]
+            out[todo[same]] = self.word[slot[todo[same]]]
             todo = todo[~same & (there != 0)]
+            if not len(todo):
+                return out
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
-        return out
+            there = self.hashes[slot[todo]]
 
-    def _learn(self, h: np.ndarray, found: list[bytes]) -> None:
-        """Puts different new word hashes and their ids into the table."""
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Puts new word hashes (different ones), the words' letters and their ids into the table."""
+        found = [self.ids_of(w.decode()) for w in words]
         new, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])
+        text, length = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
         while self.filled + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.written + len(text) + 8 > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
         self.pool[self.filled : self.filled + len(new)] = new
-        at = self.filled + np.cumsum(size) - size
+        self.spelling[self.written : self.written + len(text)] = text
+        n = slice(self.known, self.known + len(h))
+        self.at[n], self.size[n], self.letters[n] = self.filled + np.cumsum(size) - size, size, length
+        self.spelt[n] = self.written + np.cumsum(length) - length
+        self.head[n] = eights(text)[np.cumsum(length) - length] & HEAD[np.minimum(length, 8)]
         slot, todo = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = todo[self.hashes[slot[todo]] == 0]
             free = free[np.unique(slot[free], return_index=True)[1]]  # of several that want a slot, one gets it
-            k = slot[free]
-            self.hashes[k], self.at[k], self.size[k] = h[free], at[free], size[free]
+            self.hashes[slot[free]], self.word[slot[free]] = h[free], self.known + free
             todo = todo[self.hashes[slot[todo]] != h[todo]]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
         self.filled += len(new)
+        self.written += len(text)
         self.known += len(h)
 
-    def encode_column(self, col: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each row, unsigned 32-bit. Words are looked up by 64-bit hashes, a block of rows at once; each new one is encoded."""
+    def _same_letters(self, word: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bool:
+        """Whether the words of raw are those of the table, letter by letter (eight at once)."""
+        eight = eights(raw)
+        if not ((self.letters[word] == lengths) & (self.head[word] == eight[starts] & HEAD[np.minimum(lengths, 8)])).all():
+            return False
+        more, j = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 8
+        mine = np.ndarray((len(self.spelling) - 7,), "<u8", self.spelling, strides=(1,))
+        while len(more):
+            keep = HEAD[np.minimum(lengths[more] - j, 8)]
+            if not (mine[self.spelt[word[more]] + j] & keep == eight[starts[more] + j] & keep).all():
+                return False
+            j += 8
+            more = more[lengths[more] > j]
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            if not np.array_equal(self.spelling[self.spelt[word[i]] :][: lengths[i]], raw[starts[i] : starts[i] + lengths[i]]):
+                return False
+        return True
+
+    def encode_words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids up to each word, first word of each row, places and lengths of words). Words are cut at the ends of rows.
+
+        Words are looked up by 64-bit hashes and compared letter by letter; each new one is encoded.
+        """
+        h, first, starts, lengths = placed_words(raw, offsets, lower=False)
+        if not len(h):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), first, starts, lengths
+        h = np.maximum(h, np.uint64(1))
+        if not hasattr(self, "pool") or self.known + len(h) > SLOTS * 3 // 4 and self.known > SLOTS // 4 or self.filled > POOL or self.written > 4 * POOL:
+            self._fresh()
+        word, data = self._find(h), None
+        if len(missing := np.flatnonzero(word < 0)):
+            new, where = np.unique(h[missing], return_index=True)
+            data, w = raw.tobytes(), missing[where]
+            if self.known + len(new) <= SLOTS * 7 // 8:  # else a text with more different words than the table holds
+                self._learn(new, [data[a:b] for a, b in zip(starts[w].tolist(), (starts[w] + lengths[w]).tolist(), strict=True)])
+                word[missing] = self._find(h[missing])
+        if (word < 0).any() or not self._same_letters(word, raw, starts, lengths):
+            data = data or raw.tobytes()
+            found = [self[data[a:b].decode()] for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
+            return np.frombuffer(b"".join(found), "<u4"), np.r_[0, np.cumsum([len(x) // 4 for x in found])], first, starts, lengths
+        size = self.size[word]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.at[word] - (ends - size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at], np.r_[0, ends], first, starts, lengths
+
+    def encode_column(self, col: pa.Array, tree: bool = False) -> Iterator[np.ndarray]:
+        """The ids of each row, unsigned 32-bit. With `tree`, texts of more than `leaf` bytes are encoded by halves that are joined."""
         if not self.apart:
             yield from (np.frombuffer(self.encode(t.as_py()), "<u4") for t in col)
             return
         raw, at = column_bytes(col)
         for lo, hi in blocks(at, 1 << 20):
-            part = raw[at[lo] : at[hi]]
-            h, first, starts, lengths = placed_words(part, at[lo : hi + 1] - at[lo], lower=False)
-            h = np.maximum(h, np.uint64(1))
-            if not hasattr(self, "pool") or self.known + len(h) > SLOTS * 3 // 4 and self.known > SLOTS // 4 or self.filled > POOL:
-                self._fresh()
-            slot = self._find(h)
-            if len(missing := np.flatnonzero(slot < 0)):
-                new, where = np.unique(h[missing], return_index=True)
-                if self.known + len(new) > SLOTS * 7 // 8:  # one text with more different words than the table holds
-                    yield from (np.frombuffer(b"".join(map(self.__getitem__, part[a:b].tobytes().decode().replace("\n", " ").split(" "))), "<u4") for a, b in zip(at[lo:hi] - at[lo], at[lo + 1 : hi + 1] - at[lo], strict=True))
-                    continue
-                data, w = part.tobytes(), missing[where]
-                self._learn(new, [self.ids_of(data[a:b].decode()) for a, b in zip(starts[w].tolist(), (starts[w] + lengths[w]).tolist(), strict=True)])
-                slot[missing] = self._find(h[missing])
-            size = self.size[slot].astype(np.int64)
-            ends = np.cumsum(size)
-            ids = self.pool[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            cut = np.r_[0, ends][first]
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                yield ids[a:b]
+            part, offsets = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            cuts, rows = self._halves(part, offsets) if tree else (offsets, np.arange(len(offsets)))
+            ids, ends, first, starts, lengths = self.encode_words(part, cuts)
+            for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+                if b - a == 1:
+                    yield ids[ends[first[a]] : ends[first[b]]]
+                else:
+                    yield self._joined(part, cuts, ids, ends, first, starts, lengths, a, b)
+
+    # ------------------------------------------------------------ long texts: halves and their joins
+
+    def _halves(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets with long rows halved until no piece is over `leaf` bytes, and where each row begins among them. Characters stay whole."""
+        sizes = np.diff(offsets)
+        pieces = 2 ** np.ceil(np.log2(np.maximum(sizes / self.leaf, 1))).astype(np.int64)
+        rows = np.r_[0, np.cumsum(pieces)]
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        cuts = offsets[row] + (np.arange(len(row)) - rows[row]) * sizes[row] // pieces[row]
+        inner = np.flatnonzero(np.arange(len(row)) != rows[row])
+        for _ in range(3):  # a character has at most three bytes behind its first
+            cuts[inner] -= (raw[cuts[inner]] & 0xC0) == 0x80
+        return np.r_[cuts, offsets[-1]], rows
+
+    def _joined(self, raw, cuts, ids, ends, first, starts, lengths, a: int, b: int) -> np.ndarray:
+        """The ids of a text whose leaves are the rows a to b of cuts.
+
+        Around each cut a window of words, some of each side, is encoded anew and grows until its first word has the ids that the left
+        side has for it and its last word those that the right side has. Words between white space are encoded apart from each other,
+        so what agrees at both ends stays. Where leaves hold too few words for that (text without spaces), tokens are joined instead.
+        """
+        if int(np.diff(first[a : b + 1]).min()) < 4 * WORDS:
+            return np.array(self.tree(raw[cuts[a] : cuts[b]].tobytes().decode())[0], np.uint32)
+        data, out, since = raw, [], int(ends[first[a]])
+        for cut in range(a + 1, b):
+            w, k = int(first[cut]), WORDS
+            while True:
+                left, right = w - k, w + k - 1
+                window = data[starts[left] : starts[right] + lengths[right]].tobytes().decode().translate(BLANKS).split(" ")
+                found = [self[p] for p in window if p]
+                agree = found[0] == ids[ends[left] : ends[left + 1]].tobytes() and found[-1] == ids[ends[right] : ends[right + 1]].tobytes()
+                if agree or 2 * k > WORDS * 2:
+                    break
+                k *= 2
+            if not agree:
+                return np.array(self.tree(raw[cuts[a] : cuts[b]].tobytes().decode())[0], np.uint32)
+            self.joins += 1
+            out += [ids[since : ends[left]], np.frombuffer(b"".join(found), "<u4")]
+            since = int(ends[right + 1])
+        out.append(ids[since : ends[first[b]]])
+        return np.concatenate(out)
 
     # ------------------------------------------------------------ tree concatenation
 
@@ -211,6 +303,7 @@ class Encoder(dict):
             begin = lspans[-k][0] if k < len(lids) else a
             end = rspans[k - 1][1] if k < len(rids) else b
             if begin == a and end == b:
+                self.joins += 1
                 return (a, b, *self._leaf(text[a:b], a))
             wids, wspans = self._leaf(text[begin:end], begin)
             low = max(0, len(lids) - k)
@@ -221,6 +314,7 @@ class Encoder(dict):
             p = next((n for n in alone if (wspans[n], wids[n]) in mine), None) if begin > a else -1
             q = next((n for n in reversed(alone) if (wspans[n], wids[n]) in theirs), None) if end < b else len(wids)
             if p is not None and q is not None and p < q:
+                self.joins += 1
                 head, tail = (mine[wspans[p], wids[p]], p) if p >= 0 else (0, 0), (theirs[wspans[q], wids[q]], q) if q < len(wids) else (len(rids), q)
                 return a, b, lids[: head[0]] + wids[head[1] : tail[1]] + rids[tail[0] :], lspans[: head[0]] + wspans[head[1] : tail[1]] + rspans[tail[0] :]
             k *= 2
@@ -263,7 +357,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
-            ids = [x.astype("<u4").tobytes() for x in own.encode_column(b.column(b.schema.get_field_index(text)))]
+            ids = [x.astype("<u4").tobytes() for x in own.encode_column(b.column(b.schema.get_field_index(text)), tree=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(ids, pa.binary())], names=[*keep, out])
 
     from pyspark.sql import types as T
@@ -295,7 +389,7 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         own = encoder(path)
         for b in batches:
             n, one, two = [], [], []
-            for x in own.encode_column(b.column(1)):
+            for x in own.encode_column(b.column(1), tree=True):
                 ids = x.astype("<u4").tobytes()
                 n.append(len(x))
                 one.append(hashlib.sha256(ids).hexdigest())

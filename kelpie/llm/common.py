@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Seconds between two collections of the driver's garbage.
+PAUSE = 3
+_collected = 0.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local one on a local master (tests), else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = at.get() if at.isDefined() else f"file://{tempfile.mkdtemp(prefix='kelpie-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,13 +50,16 @@ def durable(df: DataFrame, parts_by: int = 0) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(at)
     out.kelpie_path = at  # type: ignore[attr-defined]
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > PAUSE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what durable() wrote, when nothing reads it any more."""
+def discard(df: DataFrame | None) -> None:
+    """Deletes what durable() wrote, when nothing reads it any more; anything else is left alone."""
     at = getattr(df, "kelpie_path", None)
     if at:
         _delete(df.sparkSession, at)
@@ -77,19 +87,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), _BASE, np.uint64)
-        grown[0] = 1
-        _POWERS = np.multiply.accumulate(grown)
-    return _POWERS[:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first 0 to 8 bytes of a little-endian 64-bit number.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,27 +133,47 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     return placed_words(raw, offsets, lower)[:2]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as a little-endian number (zeros behind the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def placed_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As words(), with the place and the length in bytes of each word."""
+    """As words(), with the place and the length in bytes of each word.
+
+    Words of up to eight bytes and one length have different hashes; of longer ones each eight bytes go through a mixing of their own,
+    so no pattern of letters cancels out in the sum, and those over LONG bytes have a BLAKE2 digest.
+    """
     n, none = len(raw), np.zeros(0, np.int64)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     inside = ~SPACE[raw]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[offsets[:-1][offsets[:-1] < n]] = False
-    starts = np.flatnonzero(inside & ~before)
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
-    held = np.flatnonzero(inside)
-    first = np.searchsorted(held, starts)
-    lengths = np.diff(first, append=len(held))
-    within = np.arange(len(held)) - np.repeat(first, lengths)
-    letters = (LOWER[raw] if lower else raw)[held].astype(np.uint64)
-    letters += np.uint64(1)
-    letters *= powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(letters, first)), np.searchsorted(starts, offsets).astype(np.int64), starts, lengths
+    lengths = np.flatnonzero(last) + 1 - starts
+    data = LOWER[raw] if lower else raw
+    eight = eights(data)
+    h = mix((eight[starts] & HEAD[np.minimum(lengths, 8)]) + _STEP)
+    more, j = np.flatnonzero(lengths > 8), 8
+    if len(more) and int(lengths.max()) > LONG:
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
+        more = more[lengths[more] <= LONG]
+    while len(more):
+        x = eight[starts[more] + j] & HEAD[np.minimum(lengths[more] - j, 8)]
+        h[more] += mix(x + mix(np.array([j], np.uint64) * _STEP))
+        j += 8
+        more = more[lengths[more] > j]
+    return mix(h + lengths.astype(np.uint64) * _STEP), np.searchsorted(starts, offsets).astype(np.int64), starts, lengths
 
 
 def lean(run):

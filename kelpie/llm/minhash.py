@@ -10,7 +10,8 @@ their first, at places that leave room for the overlap they need. Candidates pas
 the signatures' agreement (it would lose a pair at the threshold once in 10**9), then an exact one on the full sets.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with the same key and different texts are
-different nodes. A null key never is a component's id unless the component has no other.
+different nodes. A null key never is a component's id unless the component has no other. Input columns may have any name. A table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -95,22 +96,27 @@ def set_hash(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))], np.uint64).tobytes()
 
 
-def features(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Per row: key, n_shingles, set_hash (null for the empty set), bands, sketch. Map only."""
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, th, text): rows with a hash of their text, by which rows with equal keys are told apart."""
+    return docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("text"))
+
+
+def features(rows: DataFrame, k: int) -> DataFrame:
+    """Per row of keyed(): key, th, n_shingles, set_hash (null for the empty set), bands, sketch. Map only."""
 
     def run(batches):
         for b in batches:
             n, ids, bands, sketch = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
+            for s in shingle_sets(b.column(2), k):
                 n.append(len(s))
                 sig = signature(s) if len(s) else None
                 ids.append(set_hash(s) if len(s) else None)
                 bands.append(band_keys(sig).tobytes() if len(s) else None)
                 sketch.append(sig.astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (ids, bands, sketch)]], names=[key, "n_shingles", "set_hash", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (ids, bands, sketch)]], names=["key", "th", "n_shingles", "set_hash", "bands", "sketch"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_shingles long, set_hash binary, bands binary, sketch binary")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(lean(run), f"key {kind}, th long, n_shingles long, set_hash binary, bands binary, sketch binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -170,8 +176,9 @@ def _prefix_pairs(rest: DataFrame, test: _Verifier) -> DataFrame:
 class _Verifier:
     """Tests candidate pairs (a, b) of nodes, first by size and sketch, then on the full sets."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, k: int, percent: int):
-        self.docs, self.nodes, self.key, self.text, self.k, self.percent = docs, nodes, key, text, k, percent
+    def __init__(self, rows: DataFrame, nodes: DataFrame, k: int, percent: int):
+        self.rows, self.nodes, self.k, self.percent = rows, nodes, k, percent
+        self.written: list[DataFrame] = []
         self.known: DataFrame | None = None  # full sets so far, so that texts are gone through again only for new nodes
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -204,10 +211,12 @@ class _Verifier:
                 out = [(i, s) for i, want, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k), strict=True) if len(s) and set_hash(s) == want]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], names=["sid", "s"])
 
-        rows = self.docs.select(F.col(self.key).alias("rep"), F.col(self.text).alias("_text")).where("rep is not null")
         # up to SMALL nodes are sent to the texts; more of them are joined by a shuffle of both
-        found = durable(rows.join(F.broadcast(need) if n <= SMALL else need, "rep").select("sid", "set_hash", "_text").mapInArrow(lean(run), "sid long, s binary"))
+        want = need.select("sid", "set_hash", F.col("rep.key").alias("k2"), F.col("rep.th").alias("h2"))
+        same = F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("h2"))
+        found = durable(self.rows.join(F.broadcast(want) if n <= SMALL else want, same).select("sid", "set_hash", "text").mapInArrow(lean(run), "sid long, s binary"))
         discard(need)
+        self.written.append(found)
         self.known = found if self.known is None else self.known.unionByName(found)
         return self.known
 
@@ -234,13 +243,11 @@ class _Verifier:
         return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id (the smallest key linked with it, directly or not).
-
-    Links: Jaccard similarity of k-word shingle sets of at least `percent` / 100.
-    """
-    feats = durable(features(docs, key, text, k))
-    grouped = feats.where("set_hash is not null").groupBy("set_hash").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+def linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(key, th, n_shingles, component, least): per row of docs its hash, its component (null without shingles) and that one's smallest key."""
+    rows = keyed(docs, key, text)
+    feats = durable(features(rows, k))
+    grouped = feats.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = durable(grouped.withColumn("sid", F.monotonically_increasing_id()))  # written once, so the numbers stay
     buckets = _buckets(nodes)
     shared = buckets.groupBy("bk").agg(F.count("sid").alias("c")).where("c > 1")
@@ -249,7 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members2 = durable(members.join(weight, "sid").select("bk", "sid", "weight"))
     discard(members)
     members = members2
-    test = _Verifier(docs, nodes, key, text, k, percent)
+    test = _Verifier(rows, nodes, k, percent)
     typical = Window.partitionBy("bk").orderBy(F.desc("weight"), F.desc("sid"))
     top = durable(members.withColumn("turn", F.row_number().over(typical)).where(F.col("turn") <= TYPICAL).select("bk", F.col("sid").alias("top"), "turn"))
     found, roots = None, None
@@ -258,8 +265,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         nonlocal found, roots
         new = test.links(pairs)
         if new is not None:
+            old = [x for x in (found, roots) if x is not None]
+            if found is not None:
+                old.append(new)
             found = new if found is None else durable(found.unionByName(new).distinct())
-            roots = durable(components(found))
+            roots = components(found)
+            for x in old:
+                discard(x)
 
     def rooted(df: DataFrame, name: str = "sid", out: str = "root") -> DataFrame:
         if roots is None:
@@ -275,23 +287,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # in larger buckets with several components, pairs can still be untried
     rest = durable(_apart(rooted(members), TYPICAL).groupBy("sid", "root").agg(F.max("minor").alias("minor")))
     step(_prefix_pairs(rest, test))
-    node_root = nodes.select("sid", "set_hash", "rep")
-    if roots is None:
-        ids = node_root.select("set_hash", F.col("rep").alias("component_id"))
-    else:
-        node_root = node_root.join(roots.withColumnsRenamed({"node": "sid"}), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        least = node_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-        ids = node_root.join(least, "root").select("set_hash", "component_id")
-    out = feats.select(key, "n_shingles", "set_hash").join(ids, "set_hash", "left")
-    return out.select(key, "n_shingles", F.when(F.col("set_hash").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    node_root = nodes.select("sid", "set_hash", F.col("rep.key").alias("key"))
+    node_root = node_root.withColumn("root", F.col("sid")) if roots is None else node_root.join(roots.withColumnsRenamed({"node": "sid"}), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    node_root = durable(node_root)
+    least = durable(node_root.groupBy("root").agg(F.min("key").alias("least")))  # written, so that the join can split a large component
+    ids = node_root.join(least, "root").select("set_hash", F.col("root").alias("component"), "least")
+    out = durable(feats.select("key", "th", "n_shingles", "set_hash").join(ids, "set_hash", "left").drop("set_hash"))
+    for x in (feats, nodes, members, top, rest, node_root, least, found, roots, *test.written):
+        discard(x)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: key, n_shingles, component_id (the smallest key linked with it, directly or not; its own without shingles).
+
+    Links: Jaccard similarity of k-word shingle sets of at least `percent` / 100.
+    """
+    own = F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least"))
+    return linked(docs, key, text, k, percent).select(F.col("key").alias(key), "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component of near-duplicates, with docs' columns: that with the smallest key.
+    """One row of each component of near-duplicates, with docs' columns: that with the smallest key (a null key only if there is no other).
 
-    Rows that repeat a key count as one document, the one with more text staying (null keys are left alone).
+    Rows that repeat a key and a text are one document. Rows that repeat a key with unlike texts are documents of their own. Of rows
+    of one component with the smallest key that with most shingles stays, then that with the least hash. Rows without shingles are linked with nothing and all stay.
     """
-    out = near_duplicates(docs, key, text, k, percent)
-    kept = durable(out.where(F.col(key) == F.col("component_id")).select(key).distinct())
-    one = docs.join(kept, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*docs.columns), F.length(text)).alias("_row")).select("_row.*")
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    out = linked(docs, key, text, k, percent)
+    first = F.min(F.struct(F.col("key").isNull().alias("no"), "key", (-F.col("n_shingles")).alias("n"), "th"))
+    chosen = durable(out.where("component is not null").groupBy("component").agg(first.alias("x")).select(F.col("x.key").alias("key"), F.col("x.th").alias("th")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"))
+    alone = F.col("key").eqNullSafe(F.col("k2")) & (F.col("th") == F.col("h2"))
+    one = rows.join(chosen.select(F.col("key").alias("k2"), F.col("th").alias("h2")), alone, "left_semi")
+    one = one.groupBy("key", "th").agg(F.first("row").alias("row"))  # rows that are equal in key and text
+    bare = out.where("component is null").select(F.col("key").alias("k2"), F.col("th").alias("h2")).distinct()
+    rest = rows.join(bare, alone, "left_semi")
+    return one.select("row.*").unionByName(rest.select("row.*"))

@@ -6,9 +6,12 @@ go to shards by their most telling terms, so that likely neighbours meet; terms
 (copies of one text, say) are spread by a salt that grows with their document frequency, so no shard grows with a group.
 A shard works in runs of SHARD rests: each run has an inverted index of its own; the longest unused rest is the seed,
 its neighbours join by falling BM25 score while they fit, and the next one is cut to fill the window to the last id.
-Only the last window of a run can have room left.
+The last window of a run can have room left: its pieces go on into the next run, and those of a task's last run into a closing pass over
+all such pieces, so that padding depends neither on the number of shards nor on that of partitions: one window of each CLOSING ids that
+reach the closing pass can have room, and at least one.
 
-A null or empty text is its end id alone. Rows that repeat are packed each on its own. A table without rows gives none.
+A null or empty text is its end id alone. Rows that repeat are packed each on its own; ties go by key and ids. A table without rows gives
+none. Texts of any length go through: only their rests meet others.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm import bpe
-from kelpie.llm.common import durable, lean, mix
+from kelpie.llm.common import discard, durable, lean, mix
 
 WINDOW = 2048
 SHARD = 2048
 K1, B = 1.5, 0.75
 #: Most telling terms that choose a shard.
 TELLING = 8
+#: Bytes of ids that a task packs, and ids that a task of the closing pass packs.
+TASK, CLOSING = 4 << 20, 1 << 19
 
 
 def tokens(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
@@ -134,8 +139,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
     table = durable(encoded)
     df, n, mean = frequencies(table, wide)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n * mean) * 2 // (24 << 20)), 1)
+    parts = max(1, -(-int(n * mean) * 2 // TASK))
     shards = 8 * parts
     target = max(1, n // shards)
     kind = docs.schema[key].dataType.simpleString()
@@ -146,7 +150,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 out = []
-                for row, x in enumerate(part.column(1)):
+                for k, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     ids = np.frombuffer(x.as_py(), wide)
                     whole = len(ids) // window
                     crcs = [zlib.crc32(ids[i * window : (i + 1) * window].astype("<u4").tobytes()) for i in range(whole)]
@@ -156,47 +160,66 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
                     pair = sorted(zip(hashed[t].tolist(), t.tolist(), strict=True))[:2]
                     first, second = pair[0][1], pair[-1][0]
                     spread = 1 + int(df[first]) // target
-                    salt = (zlib.crc32(ids) + 31 * (lo + row)) % spread
+                    salt = (zlib.crc32(ids) + 31 * zlib.crc32(str(k).encode())) % spread
                     shard = zlib.crc32(b"%d %d" % (first, salt)) % shards
-                    out.append((shard, second >> 1, len(ids), np.array(crcs, "<u4").tobytes(), ids[whole * window :].tobytes()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]], names=["key", "shard", "near", "n", "crcs", "rest"])
+                    out.append((shard, second >> 1, len(ids), np.array(crcs, "<u4").tobytes(), ids[whole * window :].tobytes(), whole * window))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))]], names=["key", "shard", "near", "n", "crcs", "rest", "since"])
 
-    dealt = table.mapInArrow(lean(rest), f"key {kind}, shard long, near long, n long, crcs binary, rest binary").repartition(parts, "shard").sortWithinPartitions("shard", "near", "key", "n")
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def fill(batches):
+    def fill(batches, closing: bool):
+        """Rows (key, n, crcs, rest, since) to pieces; those of the last window, if it has room, keep their ids for the closing pass."""
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 36
+        at = (int(closing) << 62) + (TaskContext.get().partitionId() << 36)
         held: list[tuple] = []
+        key_type = None
+
+        def piece(of: tuple, a: int, size: int, offset: int | None) -> tuple:
+            k, total, _, rest, since = of
+            ids = np.frombuffer(rest, wide)[a : a + size]
+            if offset is None:
+                return k, since + a, size, None, total, None, None, ids.tobytes()
+            return k, since + a, size, zlib.crc32(ids.astype("<u4").tobytes()), total, at, offset, None
 
-        def work():
-            nonlocal at
+        def work(last: bool):
+            nonlocal at, held
             rows = []
-            for k, total, crcs, _ in held:
+            for k, total, crcs, _, _ in held:
                 for i, c in enumerate(np.frombuffer(crcs, "<u4").tolist()):
-                    rows.append((k, i * window, window, c, total, at, 0))
+                    rows.append((k, i * window, window, c, total, at, 0, None))
                     at += 1
             kept = [h for h in held if len(h[3])]
-            rests = [np.frombuffer(h[3], wide) for h in kept]
-            for now in pack_run(rests, idf, mean, window) if rests else []:
+            windows = pack_run([np.frombuffer(h[3], wide) for h in kept], idf, mean, window) if kept else []
+            left = []
+            if windows and not (closing and last) and sum(x[2] for x in windows[-1]) < window:
+                left = windows.pop()
+            for now in windows:
                 offset = 0
                 for d, a, size in now:
-                    k, total, _, _ = kept[d]
-                    rows.append((k, total - len(rests[d]) + a, size, zlib.crc32(rests[d][a : a + size].astype("<u4").tobytes()), total, at, offset))
+                    rows.append(piece(kept[d], a, size, offset))
                     offset += size
                 at += 1
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=names)
+            if last:
+                rows += [piece(kept[d], a, size, None) for d, a, size in left]
+            held = [] if last else [(kept[d][0], kept[d][1], b"", np.frombuffer(kept[d][3], wide)[a : a + size].tobytes(), kept[d][4] + a) for d, a, size in left]
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), *[pa.array(c, pa.int64()) for c in cols[1:7]], pa.array(cols[7], pa.binary())], names=[*names, "left"])
 
         for b in batches:
             key_type = b.column(0).type
-            for k, total, crcs, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                held.append((k, total, crcs.as_py(), r.as_py()))
-                if len(held) == SHARD:
-                    yield work()
-                    held.clear()
+            for k, total, crcs, r, since in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+                held.append((k, total, crcs.as_py(), r.as_py(), since))
+                if len(held) >= SHARD:
+                    yield work(False)
         if held:
-            yield work()
-
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return dealt.select("key", "n", "crcs", "rest").mapInArrow(lean(fill), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+            yield work(True)
+
+    schema = f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names[1:]) + ", left binary"
+    dealt = table.mapInArrow(lean(rest), f"key {kind}, shard long, near long, n long, crcs binary, rest binary, since long").repartition(parts, "shard").sortWithinPartitions("shard", "near", "key", "n", "rest")
+    done = durable(dealt.select("key", "n", "crcs", "rest", "since").mapInArrow(lean(lambda x: fill(x, False)), schema))
+    discard(table)
+    open_pieces = done.where("left is not null").select(F.col(f"`{key}`").alias("key"), F.col("doc_tokens").alias("n"), F.lit(b"").alias("crcs"), F.col("left").alias("rest"), F.col("start").alias("since"))
+    many = -(-(open_pieces.agg(F.sum(F.octet_length("rest"))).first()[0] or 0) // (CLOSING * int(wide[-1]))) or 1
+    closed = open_pieces.repartition(many, F.xxhash64("key", "since", "rest")).sortWithinPartitions("key", "since", "rest").mapInArrow(lean(lambda x: fill(x, True)), schema)
+    return done.where("left is null").unionByName(closed).select(*[f"`{c}`" for c in names])

@@ -7,7 +7,9 @@ a final logistic classifier is trained on the estimated truth over votes and sha
 a fixed number of patterns, so what reaches the driver does not grow with the corpus.
 
 Base spans (the four contract kinds with their own checks) always stay; the classifier adds spans. A null text is empty.
-Spans are code points, end exclusive. Nothing is collected from hot rows: every row is worked on alone.
+Spans are code points, end exclusive. Nothing is collected from hot rows: every row is worked on alone, so repeated rows get equal
+spans, and a text takes steps in proportion to its length and its matches. Input columns may have any name. A table without rows
+teaches nothing and gives none.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ BASE = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Patterns of further candidates, on which only the classifier decides.
 MORE = {
-    "secret": r"(?<![A-Za-z0-9_])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey|[Kk]ey)[=:]\x20?[A-Za-z0-9_/+-]{8,}+",
+    "secret": r"(?<![A-Za-z0-9_])(?:(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:(?:api|access|private|secret|auth)[_-]?)?key|authorization)[\"']?\x20{0,3}(?:[=:]|is\x20)\x20{0,3}(?:[Bb]earer\x20)?[\"']?[A-Za-z0-9_/+.=~-]{8,}+[\"']?"
+    r"|A[KS]IA[A-Z0-9]{16}|[spr]k[_-](?:live[_-]|test[_-])?[A-Za-z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?|-----BEGIN\x20[A-Z\x20]{0,30}PRIVATE\x20KEY-----)",
     "number": r"(?<![0-9+.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9.-])",
 }
 KINDS = (*BASE, *MORE)
+LEAF = 512
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 GAZETTEER = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
     "ip": r"^(?!0)(?:[0-9]{1,2}|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"^(?i)(?:password|passwd|secret|token|api)",
+    "secret": r"^(?:(?i:pass|pwd|secret|token|credential|api|access|private|auth)|A[KS]IA|[spr]k[_-]|gh[pousr]_|xox|eyJ|-----)",
     "number": r"^\(?(?!000|666|9)[2-8]",
 }
 CONTEXT = {
@@ -68,46 +72,66 @@ def shaped(kind: str, x: Column) -> Column:
         "ip": x.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"),
         "card": F.when(n.between(12, 19), luhn(x)).otherwise(False),
         "phone": n.between(9, 15),
-        "secret": x.rlike("[=:].*[A-Za-z]") & x.rlike("[=:].*[0-9]") & (F.length(x) >= 14),
+        "secret": (x.rlike("[A-Za-z][^=:]*[0-9]|[0-9][^=:]*[A-Za-z]|[=:][^=:]*[0-9]") & (F.length(x) >= 14)) | x.startswith("-----"),
         "number": n.between(9, 10),
     }[kind]
 
 
-def found(kind: str, pattern: str, text: str = "_t") -> Column:
-    """array<struct<kind, start, end, value, before>> of the pattern's matches in the text column.
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once; a lambda would otherwise work it out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Places come from the lengths of the matches and of the gaps between them.
+
+def running(values: Column, join, side: int = 64) -> Column:
+    """For each element of an array that isn't empty, the join (sum or greatest, 0 for none) of those before it.
+
+    Elements go by blocks, so a text with n matches takes about n * side steps, not n * n.
+    """
+    fold = lambda x: F.aggregate(x, F.lit(0), join)
+
+    def over(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(v) / side).cast("int") - 1)
+        whole = F.transform(blocks, lambda b: fold(F.slice(v, b * side + 1, F.lit(side))))
+        first = let(whole, lambda w: F.transform(w, lambda _, b: fold(F.slice(w, F.lit(1), b))))
+        return let(first, lambda f: F.transform(v, lambda _, i: join(F.get(f, F.floor(i / side).cast("int")), fold(F.slice(v, i - i % side + 1, i % side)))))
+
+    return let(values, over)
+
+
+def placed(kind: str, pattern: str, text: Column, matches: Column) -> Column:
+    """array<struct<kind, start, end, value, before>> of the pattern's matches; `before` is the end of the gap before a match.
+
+    Places come from the lengths of matches and of the gaps between them, as a search from the text's beginning for each would not be linear.
     """
-    m = F.col(f"_m_{kind}")
-    gaps = F.split(F.col(text), pattern, -1)
-    sizes = F.zip_with(gaps, m, lambda g, v: F.struct(F.length(g).alias("g"), F.coalesce(F.length(v), F.lit(0)).alias("m")))
-    start = lambda i: F.aggregate(F.slice(F.col(f"_z_{kind}"), 1, i), F.lit(0), lambda a, x: a + x.g + x.m) + F.get(F.col(f"_z_{kind}"), i).g
-    del sizes
-    return F.transform(m, lambda v, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(v)).alias("end"), v.alias("value")))
+
+    def over(gaps: Column) -> Column:
+        before = F.zip_with(gaps, F.concat(F.array(F.lit("")), matches), lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+        # element i of `before`: match i - 1 and the gap behind it, so starts are running sums that take their own element in
+        start = let(before, lambda b: F.zip_with(running(b, lambda x, y: x + y), b, lambda x, y: x + y))
+        one = lambda s, v, i: F.struct(F.lit(kind).alias("kind"), F.get(s, i).alias("start"), (F.get(s, i) + F.length(v)).alias("end"), v.alias("value"), F.substring(F.get(gaps, i), F.greatest(F.length(F.get(gaps, i)) - 23, F.lit(1)), F.lit(24)).alias("before"))
+        return let(start, lambda s: F.transform(matches, lambda v, i: one(s, v, i)))
+
+    return let(F.split(text, pattern, -1), over)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_spans`: array<struct<kind, start, end, base, v1, v2, v3, f>>, every candidate with its votes.
+    """(row, t, spans): the columns of docs as a struct, the text, and array<struct<kind, start, end, base, v1, v2, v3, f>>, every candidate with its votes.
 
-    f packs shape features: length class and whether the value has separators.
+    f packs shape features: length class and whether the value has separators. Columns of docs may have any name.
     """
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     every = {**BASE, **MORE}
     for kind, pattern in every.items():
-        quick = F.col("_t").rlike(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-        df = df.withColumn(f"_m_{kind}", F.when(quick, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    for kind, pattern in every.items():
-        gaps = F.split(F.col("_t"), pattern, -1)
-        sizes = F.zip_with(gaps, F.col(f"_m_{kind}"), lambda g, v: F.struct(F.length(g).alias("g"), F.coalesce(F.length(v), F.lit(0)).alias("m")))
-        df = df.withColumn(f"_z_{kind}", F.when(F.size(f"_m_{kind}") > 0, sizes))
-    df = df.withColumns({f"_f_{kind}": F.when(F.size(f"_m_{kind}") > 0, found(kind, pattern)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")) for kind, pattern in every.items()})
+        quick = F.col("t").rlike(NEEDS[kind]) if kind in NEEDS else F.lit(True)
+        df = df.withColumn(f"m_{kind}", F.when(quick, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    some = lambda kind: F.size(f"m_{kind}") > 0
+    df = df.withColumns({f"f_{kind}": F.when(some(kind), placed(kind, pattern, F.col("t"), F.col(f"m_{kind}"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")) for kind, pattern in every.items()})
 
     def voted(kind: str):
         def one(x: Column) -> Column:
-            before = F.substring(F.col("_t"), F.greatest(x.start - 23, F.lit(1)), F.least(x.start, F.lit(24)))
             shape = F.when(shaped(kind, x.value), 1).otherwise(-1)
             known = F.when(x.value.rlike(GAZETTEER[kind]), 1).otherwise(0 if kind in ("email", "phone") else -1)
-            context = F.when(before.rlike(CONTEXT[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0)
+            context = F.when(x.before.rlike(CONTEXT[kind]), 1).when(x.before.rlike(AGAINST), -1).otherwise(0)
             size = F.least(F.floor(F.length(x.value) / 8), F.lit(3)).cast("int")
             parts = F.when(x.value.rlike(r"[\x20()=:-]"), 4).otherwise(0)
             base = shaped(kind, x.value) if kind in BASE else F.lit(False)
@@ -115,38 +139,45 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return lambda x: one(x)
 
-    spans = F.concat(*[F.transform(f"_f_{kind}", voted(kind)) for kind in every])
-    return df.withColumn("_spans", spans).drop("_t", *[f"_{p}_{k}" for p in "mzf" for k in every])
+    spans = F.concat(*[F.transform(f"f_{kind}", voted(kind)) for kind in every])
+    return df.select("row", "t", spans.alias("spans"))
 
 
 # ---------------------------------------------------------------- the model, from counts of patterns
 
 
-def fit(counts: list[tuple[str, int, int, int, int, int]], rounds: int = 40) -> dict[str, list[float]]:
+def expected(rows: list[tuple[tuple[int, int, int], int]], rounds: int = 40) -> list[float]:
+    """The probability of truth of each vote pattern, from (votes, count), by expectation-maximisation.
+
+    Votes count as independent given the truth, with three outcomes each; labelers start as better than chance, with 20
+    pseudo-counts, which keep their first reading where data say little.
+    """
+    first = {True: {1: 0.7, 0: 0.2, -1: 0.1}, False: {1: 0.15, 0: 0.35, -1: 0.5}}
+    prior, rates, truth = 0.5, [{s: dict(r) for s, r in first.items()} for _ in range(3)], [0.5] * len(rows)
+    total = sum(n for _, n in rows)
+    for _ in range(rounds):
+        for k, (votes, _) in enumerate(rows):
+            yes, no = prior, 1 - prior
+            for r, v in zip(rates, votes, strict=True):
+                yes, no = yes * r[True][v], no * r[False][v]
+            truth[k] = yes / (yes + no)
+        prior = min(0.98, max(0.02, sum(p * n for p, (_, n) in zip(truth, rows, strict=True)) / total))
+        for j in range(3):
+            for side in (True, False):
+                seen = {v: 20 * first[side][v] + sum((p if side else 1 - p) * n for p, (vs, n) in zip(truth, rows, strict=True) if vs[j] == v) for v in (1, 0, -1)}
+                rates[j][side] = {v: c / sum(seen.values()) for v, c in seen.items()}
+    return truth
+
+
+def fit(counts: list[tuple[str, int, int, int, int, int]]) -> dict[str, list[float]]:
     """Per kind, weights of the final classifier, from (kind, v1, v2, v3, f, count).
 
-    Expectation-maximisation treats votes as independent given the truth, with three outcomes each; labelers start as
-    better than chance. The classifier is logistic, trained on the expected truth. A kind without candidates is absent.
+    The classifier is logistic, trained on the expected truth. A kind without candidates is absent.
     """
     out = {}
     for kind in {c[0] for c in counts}:
         rows = [(c[1:4], c[4], c[5]) for c in counts if c[0] == kind]
-        prior, rates = 0.5, [{True: {1: 0.7, 0: 0.2, -1: 0.1}, False: {1: 0.15, 0: 0.35, -1: 0.5}} for _ in range(3)]
-        truth = [0.5] * len(rows)
-        for _ in range(rounds):
-            for k, (votes, _, _) in enumerate(rows):
-                yes, no = prior, 1 - prior
-                for r, v in zip(rates, votes, strict=True):
-                    yes, no = yes * r[True][v], no * r[False][v]
-                truth[k] = yes / (yes + no)
-            total = sum(n for *_, n in rows)
-            prior = min(0.98, max(0.02, sum(p * n for p, (*_, n) in zip(truth, rows, strict=True)) / total))
-            for j in range(3):
-                for side in (True, False):
-                    # pseudo-counts keep the labelers' first reading where data say little
-                    first = {1: 0.7, 0: 0.2, -1: 0.1} if side else {1: 0.15, 0: 0.35, -1: 0.5}
-                    seen = {v: 20 * first[v] + sum((p if side else 1 - p) * n for p, (vs, _, n) in zip(truth, rows, strict=True) if vs[j] == v) for v in (1, 0, -1)}
-                    rates[j][side] = {v: c / sum(seen.values()) for v, c in seen.items()}
+        truth = expected([(votes, n) for votes, _, n in rows])
         w = [0.0] * 13  # bias, (yes, no) of each labeler, six features
         total = sum(n for *_, n in rows)
         for _ in range(300):
@@ -165,13 +196,13 @@ def inputs(votes: tuple[int, int, int], f: int) -> list[float]:
 
 
 def learn(spans: DataFrame) -> dict[str, list[float]]:
-    """Counts the vote patterns of `_spans` over all rows (there are at most 6 x 27 x 8) and fits the model."""
-    x = spans.select(F.explode("_spans").alias("x")).groupBy("x.kind", "x.v1", "x.v2", "x.v3", "x.f").count()
+    """Counts the vote patterns of `spans` over all rows (there are at most 6 x 27 x 8) and fits the model."""
+    x = spans.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.v1", "x.v2", "x.v3", "x.f").count()
     return fit(sorted(tuple(r) for r in x.collect()))
 
 
 def probability(model: dict[str, list[float]], x: Column) -> Column:
-    """The classifier as an expression over a struct of `_spans`."""
+    """The classifier as an expression over a struct of `spans`."""
     out = F.lit(0.0)
     for kind, w in sorted(model.items()):
         z = F.lit(w[0])
@@ -188,7 +219,7 @@ def order(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), kind)
 
 
-def accepted(model: dict[str, list[float]], spans: str = "_spans") -> Column:
+def accepted(model: dict[str, list[float]], spans: str = "spans") -> Column:
     """The base spans and those that the classifier takes, as array<struct<start, rank, end, kind, base>> in order."""
     taken = F.filter(spans, lambda x: x.base | (probability(model, x) >= 0.5))
     return F.sort_array(F.transform(taken, lambda x: F.struct(x.start.alias("start"), order(x.kind).alias("rank"), x.end.alias("end"), x.kind.alias("kind"), x.base.alias("base"))))
@@ -202,20 +233,39 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
+def united(spans: Column) -> Column:
+    """array<struct<start, end, kind>> of spans in order of start (at least one), where overlapping ones are one with the first one's kind."""
+
+    def over(a: Column) -> Column:
+        def cut(reach: Column) -> Column:  # reach: the furthest end before each span
+            begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i).start >= F.get(reach, i))
+            last = F.array_max(F.transform(a, lambda x: x.end))
+            return let(last, lambda top: let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(a, i).start.alias("start"), F.coalesce(F.get(reach, F.get(b, k + 1)), top).alias("end"), F.get(a, i).kind.alias("kind")))))
+
+        return let(running(F.transform(a, lambda x: x.end), lambda x, y: F.greatest(x, y)), cut)
+
+    return let(spans, over)
+
+
+def between(leaves: Column, a: Column, b: Column) -> Column:
+    """The characters a to b (exclusive) of a text that is cut into leaves of LEAF characters."""
+    first = F.floor(a / LEAF).cast("int")
+    some = F.array_join(F.slice(leaves, first + 1, F.floor((b - 1) / LEAF).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(some, a % LEAF + 1, b - a)).otherwise("")
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every accepted span of the text replaced by its kind in brackets; overlapping spans become one.
 
-    The first of two passes counts vote patterns, the second rewrites. Rows keep their columns; null texts stay null.
+    The first of two passes counts vote patterns, the second rewrites. Rows keep their columns, whatever their names; null texts stay null.
     """
-    model = learn(candidates(docs.select(text), text))
-    df = candidates(docs, text).withColumn("_a", accepted(model)).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    # in order of start; a span that starts within what is already covered only lengthens it
-    merged = F.aggregate("_a", F.array().cast("array<struct<start:int,end:int,kind:string>>"), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x.start < F.element_at(acc, -1).end),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).start.alias("start"), F.greatest(F.element_at(acc, -1).end, x.end).alias("end"), F.element_at(acc, -1).kind.alias("kind")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))))
-    df = df.withColumn("_b", F.when(F.size("_a") > 0, merged))
-    since = lambda i: F.when(i == 0, 0).otherwise(F.get("_b", i - 1).end)
-    pieces = F.transform("_b", lambda x, i: F.concat(F.substring(F.col("_t"), since(i) + 1, x.start - since(i)), F.lit("["), F.upper(x.kind), F.lit("]")))
-    tail = F.substring(F.col("_t"), F.element_at("_b", -1).end + 1, F.length("_t"))
-    return df.withColumn(text, F.when(F.size("_a") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))).select(*docs.columns)
+    model = learn(candidates(docs.select(F.col(f"`{text}`").alias("text"))))
+    df = candidates(docs, text).select("row", "t", accepted(model).alias("a"))
+    df = df.withColumn("b", F.when(F.size("a") > 0, united(F.col("a"))))
+    # the text in leaves, as a search from its beginning for each span would not be linear
+    df = df.withColumn("leaves", F.when(F.size("a") > 0, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0))))
+    since = lambda i: F.when(i == 0, 0).otherwise(F.get("b", i - 1).end)
+    pieces = F.transform("b", lambda x, i: F.concat(between(F.col("leaves"), since(i), x.start), F.lit("["), F.upper(x.kind), F.lit("]")))
+    tail = between(F.col("leaves"), F.element_at("b", -1).end, F.length("t"))
+    new = F.when(F.size("a") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("row")[text])
+    return df.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

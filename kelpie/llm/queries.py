@@ -37,10 +37,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the candidates are few, so they are written once and both the counts and the result come from them
-    spans = durable(pii.candidates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans"))
-    out = spans.withColumn("_a", pii.accepted(pii.learn(spans))).withColumn("_b", F.filter("_a", lambda x: x.base))
-    counts = [F.size(F.filter("_b", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("_b")), 256).alias("base_sha256"), pii.listed(F.col("_a")).alias("spans"))
+    spans = durable(pii.candidates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "spans"))
+    out = spans.select("doc_id", pii.accepted(pii.learn(spans)).alias("a")).withColumn("b", F.filter("a", lambda x: x.base))
+    counts = [F.size(F.filter("b", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("b")), 256).alias("base_sha256"), pii.listed(F.col("a")).alias("spans"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -442,7 +442,7 @@ def spans(lists: pa.ListArray, at: np.ndarray, least: int, gram: int) -> tuple[n
     pos, first, hits = (items.field(k).to_numpy() for k in range(3))
     size = np.diff(at)[row]
     whole = hits == 0
-    item, bit = np.nonzero((hits[:, None] >> np.arange(64)) & 1)
+    item, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(hits).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     start = (pos - first)[item] - bit
     r = np.r_[row[whole], row[item]]
     begin = np.r_[np.maximum(0, pos[whole] - (least - gram)), start]

@@ -16,6 +16,12 @@ ODD = [
 ]
 
 
+def thue_morse(n, letters="ab"):
+    """The Thue-Morse word of length n and its complement: a polynomial hash modulo 2**64 can't tell long ones apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
 def frame(spark, texts=ODD, extra=True):
     """documents with repeated rows and columns whose names clash with what operators add."""
     rows = [(k, t, "en", "src0", None if t is None else len(t), "s", 1) for k, t in enumerate(texts)]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kelpie.llm import minhash
 
-from .helpers import ODD, SF, frame, words
+from .helpers import ODD, SF, frame, thue_morse, words
 
 
 def lower(t):
@@ -61,11 +61,29 @@ def test_chains_and_short_texts(spark):
     check(spark, texts, 2)
 
 
+def test_words_of_equal_polynomials(spark):
+    texts = [f"x {w}" for n in (1024, 2048) for w in thue_morse(n)] + [f"y {w} z" for w in thue_morse(1024)]
+    check(spark, texts, 2)
+    assert len({r.component_id for r in minhash.near_duplicates(frame(spark, texts, extra=False), k=2).collect()}) == len(texts)
+
+
 def test_keep_one(spark):
-    df = frame(spark)
+    df = frame(spark).withColumn("th", F.lit("x")).withColumn("component", F.lit(1)).withColumn("row", F.lit(None).cast("string"))
     out = minhash.keep_one(df)
     assert out.columns == df.columns
-    assert out.count() == out.select("doc_id").distinct().count()
+    rows = out.collect()
+    want = {}
+    for i, (n, root) in brute(ODD, 5).items():
+        if n == 0 or root == i:
+            want[i] = ODD[i]
+    assert {r.doc_id: r.text for r in rows} == want and 0 in want
     assert minhash.keep_one(df.limit(0)).count() == 0
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert minhash.keep_one(docs.union(docs)).count() == minhash.keep_one(docs).where(F.col("doc_id").isNotNull()).count()
+
+
+def test_keep_one_of_repeated_and_null_keys(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, "another text of some words here"), (1, "another text of some words here"), (None, long + " end"), (None, "alone with a null key so far"), (None, "alone with a null key so far"), (3, "alone with a null key so far"), (None, None), (4, None)]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, long), (1, "another text of some words here"), (3, "alone with a null key so far"), (None, None), (4, None)], key=str)

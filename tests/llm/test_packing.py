@@ -42,6 +42,29 @@ def test_every_id_lies_in_one_piece(spark):
     check(spark, [*ODD, *docs, "hello world " * 3000])
 
 
+def test_padding_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts, task in ((4, 4 << 20), (200, 4 << 20), (211, 1 << 14)):  # the last one: some 80 tasks, each of which leaves a window open
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            packing.TASK, keep = task, packing.TASK
+            pieces = packing.pack(docs, bpe.vocabulary()).collect()
+            packing.TASK = keep
+            ids, windows = sum(p.length for p in pieces), len({p.sequence_id for p in pieces})
+            assert 2048 * windows - ids < max(2048, 0.01 * ids)
+            at = defaultdict(int)
+            for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+                assert p.start == at[p.doc_id]
+                at[p.doc_id] += p.length
+            assert all(at[p.doc_id] == p.doc_tokens for p in pieces)
+            found.append(ids)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(set(found)) == 1
+
+
 def test_few_windows_have_room():
     rng = np.random.default_rng(1)
     rests = [rng.integers(0, 300, rng.integers(1, 900)).astype(np.uint16) for _ in range(500)]
@@ -55,6 +78,25 @@ def test_few_windows_have_room():
     assert all(at[d] == len(r) for d, r in enumerate(rests))
 
 
+def test_seeds_take_the_best_by_brute_force_bm25():
+    """The first neighbour of each seed is the unused rest that fits with the highest score, counted term by term."""
+    rng = np.random.default_rng(8)
+    rests = [rng.integers(0, 60, rng.integers(5, 90)).astype(np.uint16) for _ in range(120)]
+    idf, mean, window = rng.random(60).astype(np.float32) + 0.1, 45.0, 128
+    used = set()
+    for now in packing.pack_run(rests, idf, mean, window):
+        seed, begin, size = now[0]
+        free = [d for d in range(len(rests)) if d not in used and d != seed]
+        fits = [d for d in free if len(rests[d]) <= window - size]
+        if len(now) > 1 and now[1][1] == 0 and now[1][2] == len(rests[now[1][0]]):
+            score = {}
+            for d in fits:
+                t, c = np.unique(rests[d], return_counts=True)
+                score[d] = sum(idf[x] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(rests[d]) / mean)) for x, n in zip(t, c) if x in set(rests[seed].tolist()))
+            assert score[now[1][0]] >= max(score.values()) - 1e-3
+        used |= {d for d, _, _ in now}
+
+
 def test_neighbours_share_terms():
     rng = np.random.default_rng(3)
     rests = [(rng.integers(0, 100, 500) + 100 * (i % 4)).astype(np.uint16) for i in range(80)]

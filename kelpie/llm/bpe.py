@@ -17,7 +17,8 @@ import hashlib
 import json
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -40,6 +41,7 @@ SLOTS, POOL = 1 << 20, 1 << 23
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are kept as little-endian 32-bit numbers"
 _OPEN: dict[str, Encoder] = {}
 _POOL: list[ThreadPoolExecutor] = []
 
@@ -87,8 +89,7 @@ class Encoder(dict):
             word_bytes = word.translate(self.bytes)
         else:
             word_bytes = word  # printable ASCII stands for itself
-        found = [t.id for t in self.tokenize(word_bytes)]
-        ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+        ids = self.words[word] = array("I", [t.id for t in self.tokenize(word_bytes)]).tobytes()
         return ids
 
     def __missing__(self, part: str) -> bytes:
@@ -152,7 +153,11 @@ class Encoder(dict):
 
     def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
         """Puts new word hashes (different ones), the words' letters and their ids into the table."""
-        found = [self.ids_of(w.decode()) for w in words]
+        if self.bytes:
+            kept, plain, slow = self.words, self._word, self.ids_of
+            found = [(kept.get(low) or plain(low)) if (low := w.decode().lower()).isalpha() and w.isascii() and len(w) < 64 else slow(w.decode()) for w in words]
+        else:
+            found = [self.ids_of(w.decode()) for w in words]
         new, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])
         text, length = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
         while self.filled + len(new) > len(self.pool):

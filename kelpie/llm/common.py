@@ -13,7 +13,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 #: Seconds between two collections of the driver's garbage.
@@ -194,14 +193,3 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def own_name(df: DataFrame, want: str) -> str:
-    """A column name that df does not have yet."""
-    while want in df.columns:
-        want += "_"
-    return want

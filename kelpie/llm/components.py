@@ -27,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = e.union(e.select("v", "u"))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
         out = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small)
         new = durable(out.distinct())
-        for x in (e, least, large, small):
+        for x in (e, least):
             discard(x)
         e = new

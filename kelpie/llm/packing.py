@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm import bpe
-from kelpie.llm.common import discard, durable, lean, mix
+from kelpie.llm.common import column_bytes, discard, durable, lean, mix
 
 WINDOW = 2048
 SHARD = 2048
 K1, B = 1.5, 0.75
 #: Most telling terms that choose a shard.
 TELLING = 8
+#: Terms that more than one in so many rests of a run has are looked up in a table.
+COMMON = 32
 #: Bytes of ids that a task packs, and ids that a task of the closing pass packs.
 TASK, CLOSING = 4 << 20, 1 << 19
 
@@ -56,17 +58,24 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
     """Document frequency of every id, number of documents, mean length. What reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
-        seen, mark, n, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), 0, 0
+        size, rows = 1 << 16, 128
+        seen, n, total = np.zeros(size, np.int64), 0, 0
+        there = np.zeros((rows, size), np.uint8)  # which ids each of some rows has
         for b in batches:
-            for x in b.column(0):
-                ids = np.frombuffer(x.as_py(), wide)
-                if wide != "<u2" and (top := int(ids.max())) >= len(seen):
-                    seen, mark = (np.concatenate([v, np.zeros(top + 1 - len(v), v.dtype)]) for v in (seen, mark))
-                mark[ids] = True
-                at = np.flatnonzero(mark)
-                seen[at] += 1
-                mark[at] = False
-                n, total = n + 1, total + len(ids)
+            raw, at = column_bytes(b.column(0))
+            ids, at = raw.view(wide), at // int(wide[-1])
+            for lo in range(0, b.num_rows, rows):
+                hi = min(lo + rows, b.num_rows)
+                part = ids[at[lo] : at[hi]]
+                if wide != "<u2" and len(part) and (top := int(part.max())) >= size:
+                    size = 2 * top
+                    seen = np.r_[seen, np.zeros(size - len(seen), np.int64)]
+                    there = np.zeros((rows, size), np.uint8)
+                flat = np.repeat(np.arange(hi - lo) * size, np.diff(at[lo : hi + 1])) + part
+                there.ravel()[flat] = 1
+                seen += np.add.reduce(there[: hi - lo], axis=0, dtype=np.uint8)  # 128 at most
+                there.ravel()[flat] = 0
+            n, total = n + b.num_rows, total + len(ids)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], n, total])], names=["term", "n"])
 
@@ -77,21 +86,40 @@ def frequencies(table: DataFrame, wide: str) -> tuple[np.ndarray, int, float]:
     return df, n, total / max(n, 1)
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids (at least one), sorted, and how often each occurs."""
+    s = np.sort(ids)
+    new = np.ones(len(s) + 1, bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    return s[first[:-1]], first[1:] - first[:-1]
+
+
 def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (rest, begin, length) over all ids of the rests; every window but the last is full."""
     n = len(rests)
     terms, tf, size = [], [], np.array([len(r) for r in rests])
     for r in rests:
-        t, c = np.unique(r, return_counts=True)
+        t, c = counted(r)
         terms.append(t)
         tf.append(c)
     docs = np.repeat(np.arange(n), [len(t) for t in terms])
     allt, alltf = np.concatenate(terms), np.concatenate(tf)
-    weight = (idf[allt] * alltf * (K1 + 1) / (alltf + K1 * (1 - B + B * size[docs] / mean))).astype(np.float32)
+    weight = idf[allt] * alltf * (K1 + 1) / (alltf + K1 * (1 - B + B * size[docs] / mean))
+    # terms that many rests have go by a table with a row a rest, the others by posting lists
+    common = np.flatnonzero(np.bincount(allt) > max(16, n // COMMON))
+    column = np.full(int(allt.max()) + 1, -1)
+    column[common] = np.arange(len(common))
+    often = column[allt] >= 0
+    table = np.zeros((2, n, len(common)), np.float32)
+    table[0, docs[often], column[allt[often]]] = weight[often]
+    table[1, docs[often], column[allt[often]]] = 1
+    base = table[1] @ table[0].T  # row: seed, column: neighbour
+    del table
+    docs, allt, weight = docs[~often], allt[~often], weight[~often]
     order = np.argsort(allt, kind="stable")
     pterm, pdoc, pweight = allt[order], docs[order], weight[order]
-    starts = np.flatnonzero(np.r_[True, pterm[1:] != pterm[:-1]])
-    where = {int(t): (a, b) for t, a, b in zip(pterm[starts], starts, np.r_[starts[1:], len(pterm)], strict=True)}
+    first, last = (np.searchsorted(pterm, np.arange(len(column)), side) for side in ("left", "right"))
     begin, used = np.zeros(n, np.int64), np.zeros(n, bool)
     by_size, head = np.argsort(-size, kind="stable"), 0
     windows = []
@@ -108,8 +136,12 @@ def pack_run(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
         used[seed] = True
         now, room = [(seed, int(begin[seed]), int(size[seed] - begin[seed]))], window - int(size[seed] - begin[seed])
         if room:
-            spans = [where[t] for t in terms[seed].tolist()]
-            score = np.bincount(np.concatenate([pdoc[a:b] for a, b in spans]), np.concatenate([pweight[a:b] for a, b in spans]), minlength=n)
+            mine = terms[seed]
+            score = base[seed].astype(np.float64)
+            a, length = first[mine], last[mine] - first[mine]
+            at = np.repeat(a - (np.cumsum(length) - length), length)
+            at += np.arange(len(at))
+            score += np.bincount(pdoc[at], pweight[at], minlength=n)
             score[used] = -1
             cut = -1
             while room:
@@ -154,7 +186,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = WINDOW, key: st
                     ids = np.frombuffer(x.as_py(), wide)
                     whole = len(ids) // window
                     crcs = [zlib.crc32(ids[i * window : (i + 1) * window].astype("<u4").tobytes()) for i in range(whole)]
-                    t, c = np.unique(ids, return_counts=True)
+                    t, c = counted(ids)
                     w = idf[t] * c / (c + K1)
                     t = t[np.argpartition(-w, TELLING)[:TELLING]] if len(t) > TELLING else t
                     pair = sorted(zip(hashed[t].tolist(), t.tolist(), strict=True))[:2]

@@ -10,6 +10,7 @@ from kelpie.llm.common import durable, read
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24, its slot, and the size and CRC of its text; law `rows`. No ties: rows are numbered within hash buckets."""
     return shards.shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
@@ -25,17 +26,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by the nearest centroid, learnt from documents whose remainder isn't 2; `und` where there is no letter."""
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()).select(F.col("doc_id").alias("key"), "text", "lang"))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-word shingles, similarity of 0.8 or more: set sizes and components of every document; empty texts are alone."""
     out = minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document; a null text is empty."""
     # the candidates are few, so they are written once and both the counts and the result come from them
     spans = durable(pii.candidates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "spans"))
     out = spans.select("doc_id", pii.accepted(pii.learn(spans)).alias("a")).withColumn("b", F.filter("a", lambda x: x.base))
@@ -44,27 +48,31 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit with the latest earlier response of its canonical address, or as an orphan."""
     out = warc.resolve(warc.captures(read(spark, sf_dir, "pages")))
     fields = F.array_sort(F.transform(F.map_entries("headers"), lambda x: F.concat_ws("=", x.key, x.value)))
     return out.select(F.col("id").alias("page_id"), "url", "time", "response_id", "response_time", "status", F.array_join(fields, ";").alias("headers"), "digest")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and their decoding, as digests, of every document; a null text has none."""
     return bpe.digest(read(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; `rule` is the number of the learned rule that rejects it, or 0."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    s = F.col("_s")
     out = rules.judged(docs, rules.learn(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    return out.select("row.doc_id", *[F.col("s")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2,048 ids; a null text is its end id alone."""
     return packing.pack(read(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document's bytes lies in strings of 200 that also start elsewhere; null texts are empty."""
     return suffix.digest(read(spark, sf_dir, "documents"))
 
 

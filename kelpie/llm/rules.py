@@ -8,7 +8,7 @@ one ordered chain of conditional expressions.
 
 Null or empty texts have no words, so they fail the base rule. Rows whose label is null, and a labels table
 without rows, teach nothing: then the list is empty and the base rule alone decides. Repeated rows get equal
-verdicts. A column of the input that has the name of a statistic is kept aside: decide() works on its own copy.
+verdicts; of the texts under one labelled key the least one teaches. The columns of the input stand in a struct, so any names may occur.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import own_name
-
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most so many labelled rows (in expectation) are fitted on; they are chosen by a hash of the id.
 SAMPLE = 20_000
@@ -28,31 +26,31 @@ FEATURES = ("words", "chars_a_word", "symbols_a_word", "marks_a_word", "capitals
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct column `_s`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the FEATURES."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
-    df = df.withColumn("_c", F.array_join("_w", "")).withColumn("_n", F.size("_w").cast("long"))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)))
-    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    df = df.withColumn("_h", F.when(F.col("_n") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
-    df = df.withColumn("_o", F.when(F.col("_again"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    twice = F.filter("_o", lambda x, k: (x.h == F.get("_o", k - 1).h) | (x.h == F.get("_o", k + 1).h))
+    """(row, s): the columns of df as one struct, so that none can clash, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the FEATURES."""
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    df = df.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
+    df = df.withColumn("c", F.array_join("w", "")).withColumn("n", F.size("w").cast("long"))
+    df = df.withColumn("l", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    df = df.withColumn("h", F.when(F.col("n") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("again", F.size(F.array_distinct("h")) < F.size("h"))
+    df = df.withColumn("o", F.when(F.col("again"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    twice = F.filter("o", lambda x, k: (x.h == F.get("o", k - 1).h) | (x.h == F.get("o", k + 1).h))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
-    df = df.withColumn("_r", F.when(F.col("_again"), covered).otherwise(0).cast("long"))
+    df = df.withColumn("r", F.when(F.col("again"), covered).otherwise(0).cast("long"))
 
     def count(chars: str) -> Column:
-        return F.length(F.regexp_replace("_c", f"[^{chars}]+", "")).cast("long")
+        return F.length(F.regexp_replace("c", f"[^{chars}]+", "")).cast("long")
 
-    n, c = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.length("_c"), F.lit(1))
-    symbols, lines = count(r"#*$%&|<>"), F.size("_l")
-    df = df.withColumn("_k", symbols).withColumn("_d", (lines - F.size(F.array_distinct("_l"))).cast("long"))
+    n, c = F.greatest(F.col("n"), F.lit(1)), F.greatest(F.length("c"), F.lit(1))
+    symbols, lines = count(r"#*$%&|<>"), F.size("l")
+    df = df.withColumn("k", symbols).withColumn("d", (lines - F.size(F.array_distinct("l"))).cast("long"))
     stats = {
-        "n_words": F.col("_n"), "word_chars": F.length("_c").cast("long"), "n_symbols": F.col("_k"), "n_dup_lines": F.col("_d"), "n_repeat_words": F.col("_r"),
-        "words": F.col("_n").cast("double"), "chars_a_word": F.length("_c") / n, "symbols_a_word": F.col("_k") / n, "marks_a_word": count("!?.,;:") / n, "capitals_a_char": count("A-ZÀ-ÖØ-Þ") / c,
-        "digits_a_char": count("0-9") / c, "repeated_share": F.col("_r") / n, "same_lines": F.col("_d") / F.greatest(lines, F.lit(1)), "distinct_share": F.size(F.array_distinct("_w")) / n,
+        "n_words": F.col("n"), "word_chars": F.length("c").cast("long"), "n_symbols": F.col("k"), "n_dup_lines": F.col("d"), "n_repeat_words": F.col("r"),
+        "words": F.col("n").cast("double"), "chars_a_word": F.length("c") / n, "symbols_a_word": F.col("k") / n, "marks_a_word": count("!?.,;:") / n, "capitals_a_char": count("A-ZÀ-ÖØ-Þ") / c,
+        "digits_a_char": count("0-9") / c, "repeated_share": F.col("r") / n, "same_lines": F.col("d") / F.greatest(lines, F.lit(1)), "distinct_share": F.size(F.array_distinct("w")) / n,
     }
-    return df.withColumn("_s", F.struct(*[v.alias(k) for k, v in stats.items()])).drop("_t", "_w", "_c", "_n", "_l", "_h", "_again", "_o", "_r", "_k", "_d")
+    return df.withColumn("s", F.struct(*[v.alias(k) for k, v in stats.items()])).select("row", "s")
 
 
 @dataclass(frozen=True)
@@ -61,7 +59,7 @@ class Rule:
 
     conditions: tuple[tuple[str, str, float], ...]
 
-    def column(self, stats: str = "_s") -> Column:
+    def column(self, stats: str = "s") -> Column:
         out = F.lit(True)
         for name, op, t in self.conditions:
             x = F.col(stats)[name]
@@ -135,8 +133,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     if not n:
         return []
     chosen = known.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
-    # the chosen rows are a bounded sample, so this side may be broadcast at any size of the corpus
-    stats = measured(docs.select(key, "text").join(F.broadcast(chosen), key)).select(key, "_y", *[F.col("_s")[f].alias(f) for f in FEATURES])
+    # the chosen rows are a bounded sample, so this side may be broadcast at any size of the corpus; of a repeated key one text is taken
+    some = docs.select(F.col(key).alias("k"), F.col("text")).join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col("_y").alias("y"))), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
+    stats = measured(some).select("row.k", "row.y", *[F.col("s")[f].alias(f) for f in FEATURES])
     rows = sorted(tuple(r) for r in stats.collect())
     if not rows:
         return []
@@ -145,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     return cover(x[order], (np.array([r[1] for r in rows]) == 0)[order])
 
 
-def decide(rules: list[Rule], stats: str = "_s") -> Column:
+def decide(rules: list[Rule], stats: str = "s") -> Column:
     """0 where no rule holds, else the number of the first that does: an ordered conditional expression."""
     out = F.lit(0)
     for k, rule in reversed(list(enumerate(rules, 1))):
@@ -153,20 +152,19 @@ def decide(rules: list[Rule], stats: str = "_s") -> Column:
     return out
 
 
-def base_failed(stats: str = "_s", least_words: int = 50, repeated: int = 50) -> Column:
+def base_failed(stats: str = "s", least_words: int = 50, repeated: int = 50) -> Column:
     s = F.col(stats)
     return (s.n_words < least_words) | (100 * s.n_repeat_words > repeated * s.n_words)
 
 
 def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """docs with `_s`, `_base_failed`, `_rule` (number of the rule that rejects it, or 0) and `_kept`."""
-    out = measured(docs, text).withColumn("_base_failed", base_failed()).withColumn("_rule", decide(rules))
-    return out.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+    """(row, s, base_failed, rule, kept): the columns of docs as a struct, the statistics, the number of the rule that rejects it (or 0), and the verdict."""
+    out = measured(docs, text).withColumn("base_failed", base_failed()).withColumn("rule", decide(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that neither the base rule nor a learned rule rejects, with docs' columns."""
+    """The rows of docs that neither the base rule nor a learned rule rejects, with docs' columns, whatever their names."""
     out = judged(docs, learn(docs, labels))
     # a filter would be moved below the statistics, and each use of a statistic would be written out in it; a generator stays above
-    one = own_name(docs, "_one")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(F.col("_kept"), F.array(F.lit(1)))).alias(one)).drop(one)
+    return out.select("row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("one")).select("row.*")

@@ -7,7 +7,7 @@ come back or there is room under the quota, by a hash of the document. Documents
 counts equal: what a shard has over its share goes to shards with too few, documents without links first. Hub counts are partial aggregates; documents of hot hubs
 are joined under salts, and there are at most HOT such hubs. Nothing but 24 x 24 sums reaches the driver.
 
-Law `rows`: shard sizes differ by one row at most. Null texts count as 8 bytes. Rows that repeat are placed each on
+Rounds end when linked pairs on one shard no longer grow in number. Law `rows`: shard sizes differ by one row at most. Null texts count as 8 bytes. Rows that repeat are placed each on
 its own. An empty table gives an empty result.
 """
 
@@ -28,10 +28,11 @@ def _share(*what) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*what), 2).cast("double") / F.lit(_MOST)
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, rounds: int = 6) -> DataFrame:
-    """nodes(node, label) after `rounds` of moves; links(node, hub). No shard takes in more than `most` nodes.
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, gain: float = 0.001) -> DataFrame:
+    """nodes(node, label) after moves that bring linked nodes together; links(node, hub). No shard takes in more than `most` nodes.
 
-    Hubs with one member link nothing and are left out.
+    Rounds go on until two of them, one of each kind, have raised the number of linked pairs on one shard by less than `gain` of
+    all linked pairs. Hubs with one member link nothing and are left out.
     """
     hubs = links.groupBy("hub").agg(F.count("node").alias("size")).where("size > 1")
     total = nodes.count()
@@ -40,11 +41,20 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, roun
     hot = hubs.where(F.col("size") >= least)  # HOT rows at most, as sizes add up to the number of links
     tied = links.join(hubs.select("hub"), "hub").join(F.broadcast(hot.select("hub", F.lit(SALTS).alias("salts"))), "hub", "left")
     tied = durable(tied.select("node", "hub", F.coalesce(F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts")))
-    discard(hubs)
     nodes = durable(nodes)
-    for k in range(rounds):
-        at = tied.join(nodes, "node")
-        counts = at.groupBy("hub", "salts", "label").agg(F.count("node").alias("c"))
+    pairs = lambda n: F.coalesce(F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2), F.lit(0.0))
+    every, most_together, stale, k = hubs.agg(pairs("size")).first()[0], -1.0, 0, 0
+    discard(hubs)
+    while True:
+        counts = durable(tied.join(nodes, "node").groupBy("hub", "salts", "label").agg(F.count("node").alias("c")))
+        together = counts.agg(pairs("c")).first()[0]
+        if together > most_together + gain * every or most_together < 0:
+            most_together, stale = together, 0
+        else:
+            stale += 1
+        if stale == 2 or together >= every:
+            discard(counts)
+            break
         # one row a hub and salt, with a count for each label that occurs: at most `shards` of them
         heard = counts.groupBy("hub", "salts").agg(F.collect_list(F.struct("label", "c")).alias("v")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         votes = tied.select("node", "hub", "salt").join(heard.select("hub", "salt", "v"), ["hub", "salt"])
@@ -58,17 +68,18 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, roun
         moves = durable(best.join(nodes, "node").where("to <> label").select("node", "label", "to"))
         asked = {(r.label, r.to): r.n for r in moves.groupBy("label", "to").agg(F.count("node").alias("n")).collect()}
         let = quotas(asked, sizes, shards, most)
+        k += 1
         if not any(let.values()):
             discard(moves)
-            if k % 2:
-                break
+            discard(counts)
             continue
         table = nodes.sparkSession.createDataFrame([(a, b, float(p)) for (a, b), p in let.items()], "label int, to int, p double")
-        gone = moves.join(F.broadcast(table), ["label", "to"]).where(_share("node", F.lit(100 + k)) < F.col("p")).select("node", F.col("to").alias("new"))
+        gone = moves.join(F.broadcast(table), ["label", "to"]).where(_share("node", F.lit(99 + k)) < F.col("p")).select("node", F.col("to").alias("new"))
         now = durable(nodes.join(gone, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
-        discard(moves)
-        discard(nodes)
+        for x in (moves, counts, nodes):
+            discard(x)
         nodes = now
+    discard(tied)
     return nodes
 
 
@@ -119,7 +130,7 @@ def even(nodes: DataFrame, shards: int, buckets: int) -> DataFrame:
     return out.select("node", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, links: DataFrame | None = None, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, links: DataFrame | None = None) -> DataFrame:
     """Per row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     links(key, hub) replaces the links between equal texts; a hub joins all documents that name it.
@@ -131,7 +142,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     start = rows.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label"))
     several = durable(tied.groupBy("hub").agg(F.count("node").alias("c")).where("c > 1"))  # written, so that the join can split hot hubs
     linked = durable(tied.join(several, "hub").select("node").distinct())
-    moved = propagate(start.join(linked, "node"), tied, shards, rows.count() / shards, rounds)
+    moved = propagate(start.join(linked, "node"), tied, shards, rows.count() / shards)
     alone = start.join(linked, "node", "left_anti")
     nodes = durable(moved.select("node", "label", F.lit(True).alias("linked")).unionByName(alone.withColumn("linked", F.lit(False))))
     placed = even(nodes, shards, 64)

@@ -1,31 +1,31 @@
 """SimHash fingerprints and Hamming search with permuted block tables.
 
-Terms are the three-word shingles of a text (the single words of a shorter one), lower case; a term's weight is 1 plus the
-whole part of the binary logarithm of its count. Its 256-bit hash votes with that weight, per bit for or against; the
-sign of the sum is the fingerprint's bit. Null and empty texts have no terms and the fingerprint of zeros.
-
-Search: for a small radius a fingerprint is cut into blocks. Two within `radius` bits agree on at least blocks - radius blocks, so a
-table for each choice of that many blocks, keyed by them (a permutation brings them to the front), finds all. Near copies lie
-further apart than such keys reach (RADIUS), so without blocks every query is compared with every fingerprint. Equal
-fingerprints are one row with a count.
+Terms are the words of a text, lower case; a term's weight is 1 plus the whole part of the binary logarithm of its count. Its
+256-bit hash votes with that weight, per bit for or against; the sign of the sum is the fingerprint's bit. Null and empty
+texts have no terms and the fingerprint of zeros. Texts of any length are taken whole; rows that repeat have equal fingerprints.
+
+Search: a fingerprint is cut into blocks, at least half as many as radius + 1, and there is a table for each, in which that block stands first.
+Two fingerprints within the radius differ in one bit at most in some block. So a query looks into each table under its own block and under that
+block with each single bit turned, which finds all; a pair counts only in the first table in which it meets, so none is found twice.
+Equal fingerprints are one row with a count. Tables and queries are written before they meet, so that Spark can split a block that many have.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix, words
+from kelpie.llm.common import blocks, column_bytes, durable, lean, mix, words
 
 BITS = 256
-SHINGLE = 3
-#: Of 965 documents of sf0.01 edited until their five-word Jaccard was just 0.8, 99.9 % lie within 45 bits of the original (1.5 % within 7).
-RADIUS = 45
+#: Words of a term. Single words lie nearest for near copies (median 14 bits at a five-word Jaccard of 0.8; pairs and triples: 22 and 28).
+SHINGLE = 1
+#: Documents of sf0.01 edited until their five-word Jaccard was just 0.8: 99 % lie within 23 bits; of unlike texts 0.1 % lie within 73.
+RADIUS = 23
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 PARTS = ("f0", "f1", "f2", "f3")
 
@@ -52,7 +52,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     raw, at = column_bytes(pa.array(texts, pa.large_string()))
     for lo, hi in blocks(at, 1 << 18):
         w, first = words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-        h = w[: len(w) - SHINGLE + 1] if len(w) >= SHINGLE else w[:0]
+        h = w[: len(w) - SHINGLE + 1] if len(w) >= SHINGLE else w[:0]  # shorter texts have their words as terms
         for j in range(1, SHINGLE):
             h = mix(h * np.uint64(0xD1342543DE82EF95) + w[j : j + len(h)])
         for i, a, b in zip(range(lo, hi), first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -79,77 +79,46 @@ def as_hex(parts=PARTS) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.col(p)), 16, "0") for p in parts]))
 
 
-def matches(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, n_blocks: int | None = None) -> DataFrame:
-    """(q0..q3, f0..f3, n, bits): for each distinct query fingerprint, the distinct ones of fps within `radius` bits, itself
-    included, with the number of their rows and their distance.
-
-    n_blocks, if given, is above the radius: keys are n_blocks - radius blocks long, tables are the choices of so many blocks.
+def block_cuts(radius: int) -> list[tuple[int, int, int]]:
+    """(part, first bit, bits) of the blocks: as many in each 64-bit part as the radius needs."""
+    each = max(1, -(-(radius + 1) // 8))
+    return [(p, k * (64 // each), 64 - (each - 1) * (64 // each) if k + 1 == each else 64 // each) for p in range(4) for k in range(each)]
+
+
+def _block(part: Column, first: int, bits: int) -> Column:
+    return part if bits == 64 else F.shiftrightunsigned(part, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def matches(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q0..q3, f0..f3, n, bits): for each distinct query fingerprint, the distinct ones of fps within `radius` (under 128) bits, itself
+    included, with the number of their rows and their distance. Each pair comes once."""
+    cuts = block_cuts(radius)
+    asks = [p.replace("f", "q") for p in PARTS]
+    rows = durable(fps.groupBy(*PARTS).agg(F.count("*").alias("n")))
+    asked = durable(queries.select(*[F.col(p).alias(q) for p, q in zip(PARTS, asks, strict=True)]).distinct())
+    one = [F.struct(F.lit(b).alias("b"), _block(F.col(PARTS[p]), first, bits).alias("v")) for b, (p, first, bits) in enumerate(cuts)]
+    tables = rows.select(*PARTS, "n", F.explode(F.array(*one)).alias("x")).select("x.b", "x.v", *PARTS, "n")
+    turn = lambda b, block: lambda mask: F.struct(F.lit(b).alias("b"), block.bitwiseXOR(mask).alias("v"))
+    turned = []
+    for b, (p, first, bits) in enumerate(cuts):
+        masks = F.array(*[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(bits)], F.lit(0).cast("long"))
+        turned.append(F.transform(masks, turn(b, _block(F.col(asks[p]), first, bits))))
+    probes = asked.select(*asks, F.explode(F.concat(*turned)).alias("x")).select("x.b", "x.v", *asks)
+    apart = [F.col(f).bitwiseXOR(F.col(q)) for f, q in zip(PARTS, asks, strict=True)]
+    bits = sum((F.bit_count(x) for x in apart), F.lit(0))
+    meets = F.lit(None).cast("int")  # the first block with one different bit at most
+    for b, (p, first, n) in reversed(list(enumerate(cuts))):
+        meets = F.when(F.bit_count(_block(apart[p], first, n)) <= 1, b).otherwise(meets)
+    both = tables.join(probes, ["b", "v"]).where(bits <= radius).where(meets == F.col("b"))
+    return both.select(*asks, *PARTS, "n", bits.cast("long").alias("bits"))
+
+
+def search(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f0..f3, n_within): for each distinct query fingerprint, the rows of fps within `radius` bits, itself included (see matches).
+
+    Pairs are summed where they meet, before the shuffle by query.
     """
-    rows = fps.groupBy(*PARTS).agg(F.count("*").alias("n"))
-    asked = queries.select(*PARTS).distinct()
-    if n_blocks is None:
-        return _scan(rows, asked, radius)
-    width = 256 // n_blocks
-    cuts = [(b, width if b + 1 < n_blocks else 256 - width * (n_blocks - 1)) for b in range(n_blocks)]
-    text = F.concat(*[F.lpad(F.bin(F.col(p)), 64, "0") for p in PARTS])
-    piece = [F.substring(text, b * width + 1, n) for b, n in cuts]
-
-    def tabled(df: DataFrame) -> DataFrame:
-        tables = [F.xxhash64(F.lit(k), *[piece[b] for b in chosen]) for k, chosen in enumerate(combinations(range(n_blocks), n_blocks - radius))]
-        return df.withColumn("bk", F.explode(F.array(*tables)))
-
-    asked = tabled(asked).select("bk", *[F.col(p).alias(p.replace("f", "q")) for p in PARTS])
-    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(p.replace("f", "q")))) for p in PARTS), F.lit(0))
-    # several tables can find the same pair
-    return tabled(rows).join(asked, "bk").where(bits <= radius).select("q0", "q1", "q2", "q3", *PARTS, "n", bits.cast("long").alias("bits")).distinct()
-
-
-def _scan(rows: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
-    """matches() by comparing all pairs, block by block: work grows with rows times queries."""
-
-    def packed(df: DataFrame, size: int, name: str) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, size):
-                    part = b.slice(lo, size)
-                    yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in part.columns]).tobytes()], pa.binary())], names=[name])
-
-        return df.mapInArrow(lean(run), f"{name} binary")
-
-    def run(batches):
-        def batch(q, hits):
-            at, bits = (np.concatenate([h[k] for h in hits]) for k in (1, 2))
-            own = q[:, np.repeat([h[0] for h in hits], [len(h[1]) for h in hits])].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*own, *x[:, at].view(np.int64), n[at], bits)], names=names)
-
-        for b in batches:
-            for xs, qs in zip(b.column(0), b.column(1), strict=True):
-                x, q = np.frombuffer(xs.as_py(), np.uint64).reshape(5, -1), np.frombuffer(qs.as_py(), np.uint64).reshape(4, -1)
-                x, n = x[:4], x[4].view(np.int64)
-                hits, many = [], 0
-                for k in range(q.shape[1]):
-                    half = np.bitwise_count(x[0] ^ q[0, k]) + np.bitwise_count(x[1] ^ q[1, k])
-                    at = np.flatnonzero(half <= radius)
-                    bits = np.bitwise_count(x[:, at] ^ q[:, k, None]).sum(0, dtype=np.int64)
-                    at, bits = at[bits <= radius], bits[bits <= radius]
-                    if len(at):
-                        hits.append((k, at, bits))
-                        many += len(at)
-                    if many >= 1 << 16:
-                        yield batch(q, hits)
-                        hits, many = [], 0
-                if hits:
-                    yield batch(q, hits)
-
-    names = [*[f"q{k}" for k in range(4)], *PARTS, "n", "bits"]
-    count = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = packed(rows.select(*PARTS, "n").repartition(count), 4096, "x").crossJoin(F.broadcast(packed(asked, 1024, "q")))
-    return both.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
-
-
-def search(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, n_blocks: int | None = None) -> DataFrame:
-    """(f0..f3, n_within): for each distinct query fingerprint, the rows of fps within `radius` bits, itself included (see matches)."""
-    near = matches(fps, queries, radius, n_blocks)
+    near = matches(fps, queries, radius)
     return near.groupBy("q0", "q1", "q2", "q3").agg(F.sum("n").alias("n_within")).withColumnsRenamed({f"q{k}": f"f{k}" for k in range(4)})
 
 
@@ -226,6 +195,3 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([b.column(0), *pairs(b.column(0).to_pylist(), texts, heads, fingerprints(texts), fingerprints(heads))], names=names)
 
     return done.unionByName(ends.mapInArrow(lean(close), one))
-
-
-__all__ = ["edited", "fingerprint", "fingerprints", "matches", "search", "as_hex", "discard"]

@@ -36,7 +36,7 @@ from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix
 #: Documents of one collection, unless one core alone has more.
 COLLECTION = 1 << 15
 #: Window starts of a class; and of a class of an anchor with more different segments than HOT (or a 500th of all, if that is more).
-STEPS, FINE, HOT, HOTTEST = 31, 4, 1000, 200_000
+STEPS, FINE, HOT, HOTTEST = 31, 8, 1000, 200_000
 #: Columns inserted between a reading and a writing of the files.
 PASS = 16
 _BASE = 0x9E3779B97F4A7C15

@@ -55,9 +55,11 @@ def query_terms(query: Column, technical: Sequence[str] = vocab.TECHNICAL_TERMS,
     singles = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("term"), (2 * i).alias("pos"))), lambda x: fits(x.term))
     pairs = F.transform(words, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1)).alias("term"), (2 * i + 1).alias("pos"), (F.lower(w).isin(*stop) & F.lower(F.get(words, i + 1)).isin(*stop)).alias("dull")))
     pairs = F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda x: ~x.dull)
-    both = F.array_sort(F.transform(F.concat(singles, F.transform(pairs, lambda x: F.struct(x.term, x.pos))), lambda x: F.struct(x.pos.alias("pos"), x.term.alias("term"))))
-    first = F.filter(both, lambda x, i: ~F.exists(F.slice(both, 1, i), lambda y: y.term == x.term))
-    return F.transform(first, lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos")))
+    # equal terms stand side by side once sorted; the array is bound to a name, as a lambda would work it out anew for each element
+    by_term = F.array_sort(F.concat(singles, F.transform(pairs, lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos")))))
+    first = F.get(F.transform(F.array(by_term), lambda b: F.filter(b, lambda x, i: (i == 0) | (F.get(b, i - 1).term != x.term))), F.lit(0))
+    in_order = F.array_sort(F.transform(first, lambda x: F.struct(x.pos.alias("pos"), x.term.alias("term"))))
+    return F.transform(in_order, lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos")))
 
 
 def term_class(term: Column) -> Column:

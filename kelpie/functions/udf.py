@@ -65,12 +65,22 @@ def splitter(size: int, overlap: int) -> Callable[[Column], Column]:
 def name_similarity(a: str, b: str) -> float:
     """1 for equal names, 0.92 for one within the other at similar length, else the ratio of matching blocks."""
     a, b = a.lower().strip(), b.lower().strip()
-    if a == b:
-        return 1.0
+    return name_similarity_whole(a, b) or SequenceMatcher(None, a, b).ratio()
+
+
+def name_similarity_whole(a: str, b: str) -> float:
+    """The part of name_similarity() for equal and contained names: 0 for others."""
     short, long = sorted((a, b), key=len)
-    if short in long and len(short) / len(long) > 0.6:
-        return 0.92
-    return SequenceMatcher(None, a, b).ratio()
+    return 1.0 if a == b else 0.92 if short in long and len(short) / len(long) > 0.6 else 0.0
+
+
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether name_similarity() reaches `least`; bounds from lengths and letters spare most of the matching."""
+    a, b = a.lower().strip(), b.lower().strip()
+    if whole := name_similarity_whole(a, b):
+        return whole >= least
+    match = SequenceMatcher(None, a, b)
+    return 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) and match.quick_ratio() >= least and match.ratio() >= least
 
 
 @F.pandas_udf(T.DoubleType())

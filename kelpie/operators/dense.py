@@ -27,48 +27,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Batches of queries up to this size are sent to every task; larger ones go through in blocks of it.
-QUERY_BLOCK = 2000
+#: Rows of a block of queries and of vectors. Up to one block of queries is sent to every task.
+QUERY_BLOCK, VECTOR_BLOCK = 2000, 4096
+
+
+def _blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """(<name>_ids, <name>): rows of (key, embedding) packed to blocks of 64-bit numbers. A batch of Arrow rows is cut, never joined with the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(flat) % part.num_rows or (np.diff(part.column(1).offsets) != len(flat) // part.num_rows).any():
+                    raise ValueError("vectors differ in length")
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", name])
+
+    return df.where("embedding is not null").select(key, "embedding").mapInArrow(run, f"{name}_ids array<{df.schema[key].dataType.simpleString()}>, {name} binary")
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of largest inner product per query; ties by chunk id.
 
-    Exact. Vectors stay where they are: each task multiplies its Arrow batches by the block of queries and keeps k a batch and query, so the
-    shuffle carries the k best of each batch. Blocks of queries are bounded by QUERY_BLOCK, as they are collected.
+    Exact. Both sides are packed to blocks, and each pair of blocks is one product of matrices that leaves k rows a query, so neither the plan nor
+    the driver grows with the queries. One block of queries is broadcast; more of them meet the vectors pair by pair.
     """
     import numpy as np
     import pyarrow as pa
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     kq, kc = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    ids = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    n = ids.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        part = ids if blocks == 1 else ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.collect()
-        names, q = [r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64)
-
-        def run(batches, names=names, q=q):
-            for b in batches:
-                if not b.num_rows or not len(names):
-                    continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                ok = np.array([v is not None for v in b.column(1).to_pylist()])
-                s = np.where(ok[None], q @ x.T, -np.inf) if ok.all() else np.full((len(q), len(x)), -np.inf)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] <= k else None
-                if top is None:
+    asked = _blocks(queries, "query_id", QUERY_BLOCK, "q")
+    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    both = _blocks(vectors, "chunk_id", VECTOR_BLOCK, "x").crossJoin(F.broadcast(asked) if few else asked)
+
+    def run(batches):
+        for b in batches:
+            x_ids, xs, q_ids, qs = (b.column(b.schema.get_field_index(c)) for c in ("x_ids", "x", "q_ids", "q"))
+            for i in range(b.num_rows):
+                ids, names = x_ids[i].values, q_ids[i].values
+                x, q = (np.frombuffer(v[i].as_buffer(), np.float64).reshape(n, -1) for v, n in ((xs, len(ids)), (qs, len(names))))
+                s = q @ x.T
+                if s.shape[1] > k:
                     cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    at = np.nonzero(s >= cut)  # all that tie with the k-th stay, as ids decide later
+                    at = np.nonzero(s >= cut - 1e-9)  # all that tie with the k-th stay, as ids decide later
                 else:
-                    at = (np.repeat(np.arange(len(q)), top.shape[1]), top.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at[0]], id_type), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "chunk_id", "score"])
+                    at = np.nonzero(np.ones_like(s, bool))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at[0])), ids.take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "chunk_id", "score"])
 
-        found = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id {kq}, chunk_id {kc}, score double")
-        out = found if out is None else out.unionByName(found)
+    out = both.select("x_ids", "x", "q_ids", "q").mapInArrow(run, f"query_id {kq}, chunk_id {kc}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -139,7 +139,8 @@ def matching_nodes(nodes: DataFrame, cands: DataFrame, limit: int | None) -> Dat
     if terms.limit(2001).count() <= 2000:
         met = n.join(F.broadcast(terms), F.col("lname").contains(F.col("low")))
     else:
-        short = n.join(terms.where("length(low) < 3").withColumnRenamed("low", "low"), F.col("lname").contains(F.col("low")))
+        # terms of one or two characters (letters, digits, three marks) are some 1,500 different ones at most
+        short = n.join(F.broadcast(terms.where("length(low) < 3")), F.col("lname").contains(F.col("low")))
         grams = n.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("lname") - 2, F.lit(1))), lambda i: F.substring(F.col("lname"), i, F.lit(3))))))
         long = grams.join(terms.where("length(low) >= 3").withColumn("g", F.substring("low", 1, 3)), "g").where(F.col("lname").contains(F.col("low"))).drop("g")
         met = short.unionByName(long.select(*short.columns))

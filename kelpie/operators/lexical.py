@@ -45,22 +45,25 @@ def build_bm25(chunks: DataFrame, s: Settings = DEFAULT, text: str = "text", ord
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(query_id, chunk_id, ord, score, norm) of every chunk with a query term; repeated query terms count again.
+    """(query_id, chunk_id, ord, score) of every chunk with a query term; repeated query terms count again.
 
-    norm is the score over the query's best, or the score where the best isn't positive. Terms are summed before the shuffle by query and
-    chunk, and the query side of the term join is as small as the batch of queries.
+    Postings meet the batch's distinct terms by term, then scores are summed by query and chunk with partial sums before the shuffle.
     """
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weights = asked.join(index.terms, "term")
     hit = index.postings.join(weights, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / F.col("avgdl")))
-    scored = hit.withColumn("part", part).groupBy("query_id", "chunk_id", "ord").agg(F.sum("part").alias("score"))
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return scored.withColumn("norm", F.when(best > 0, F.col("score") / best).otherwise(F.col("score")))
+    return hit.withColumn("part", part).groupBy("query_id", "chunk_id", "ord").agg(F.sum("part").alias("score"))
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 5, s: Settings = DEFAULT) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k best per query by normalised score, positive ones only; ties in corpus order."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("norm", 9)), "ord")
+    """(query_id, chunk_id, score, rank): the k best per query, positive ones only; ties in corpus order.
+
+    The score is normalised by the query's best, where that is positive. Rows over k are dropped before the shuffle by query (a window group
+    limit), and the best is then that of the k rows left, so no task sees all scores of a query.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord")
     out = bm25_scores(index, queries, s).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.where("norm > 0").select("query_id", "chunk_id", F.col("norm").alias("score"), "rank")
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    norm = out.withColumn("norm", F.when(best > 0, F.col("score") / best).otherwise(F.col("score")))
+    return norm.where("norm > 0").select("query_id", "chunk_id", F.col("norm").alias("score"), "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions.text import is_protected, strip
-from kelpie.functions.udf import name_similarity
+from kelpie.functions.udf import similar
 
 
 def find_duplicates(nodes: DataFrame, s: Settings = DEFAULT, respect_protected: bool = False) -> DataFrame:
@@ -34,7 +34,7 @@ def find_duplicates(nodes: DataFrame, s: Settings = DEFAULT, respect_protected:
         for i, a in enumerate(found):
             if a in taken:
                 continue
-            group = [a, *[b for j, b in enumerate(found) if j != i and b not in taken and name_similarity(a, b) >= limit]]
+            group = [a, *[b for j, b in enumerate(found) if j != i and b not in taken and similar(a, b, limit)]]
             if len(group) > 1:
                 spaced = [x for x in group if " " in x] or group
                 best = max(spaced, key=len)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie import schemas
+from kelpie.sources.pdf import parse_pdf
 
 #: Reads the bytes of a file into rows (element_type, text, page, bbox, table_data, font_size, is_bold) of dicts.
 Parser = Callable[[bytes], list[dict]]
@@ -48,13 +49,13 @@ def parse_docx(raw: bytes) -> list[dict]:
         return []
 
 
-PARSERS: dict[str, Parser] = {".txt": parse_txt, ".docx": parse_docx, ".doc": parse_docx}
+PARSERS: dict[str, Parser] = {".txt": parse_txt, ".docx": parse_docx, ".doc": parse_docx, ".pdf": parse_pdf}
 
 
 def read_elements(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Elements of all files under path whose suffix has a parser; others are ignored.
 
-    PDF has none by default, as no PDF package is at hand: pass one as parsers={**PARSERS, ".pdf": ...}. It may give
+    PDF text comes from a small reader (sources.pdf). Another parser can take its place, as parsers={**PARSERS, ".pdf": ...}; it may give
     elements of type text, heading, table, figure and ocr with boxes and font sizes (operators.layout makes them from spans and tables).
     A parser that fails on a file gives no elements for it.
     """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kelpie import schemas, vocab
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions import text as T
+from kelpie.plans import catalogue
 from kelpie.functions.udf import hashed_embedding, name_similarity, similarity, split_text
 from kelpie.operators import answer, dense, evaluate, fusion, graph, layout, lexical, resolve, sections
 from kelpie.plans import retrieval
@@ -235,6 +236,35 @@ def test_resolution(spark):
     assert {tuple(x) for x in e2.collect()} == {("1", "R", "3", None), ("2", "R", "3", None), ("2", "R", "1", None), ("1", "R", "2", None), ("3", "R", "3", "c3")} or {tuple(x) for x in e2.collect()} == {("1", "R", "3", None), ("2", "R", "3", None), ("3", "R", "3", "c3")}
 
 
+def test_resolution_query_matches_brute_force(spark):
+    """The registered query against a greedy pass over all names that share their first letters, with every similarity worked out."""
+    sf = "/root/testdata/sf0.001"
+    parts = {r.p_name.lower() for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    names = sorted(n for n in parts | {n + "s" for n in parts} if len(n.strip()) > 2)
+    want, taken = set(), set()
+    for a in names:
+        if a in taken:
+            continue
+        group = [a, *[b for b in names if b != a and b not in taken and b[:3] == a[:3] and name_similarity(a, b) >= 0.88]]
+        if len(group) > 1:
+            spaced = [x for x in group if " " in x] or group
+            want |= {(a[:3], x, k, max(spaced, key=len)) for k, x in enumerate(group)}
+            taken |= set(group)
+    got = {(r.bucket, r.name, r.place, r.canonical) for r in catalogue.QUERIES["entity_resolution"](spark, sf).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_split_query_takes_whole_texts(spark):
+    """The registered query gives, for every text, the pieces of the function that test_splitter_bounds_and_coverage tests, in order."""
+    sf = "/root/testdata/sf0.001"
+    pieces = {}
+    for r in catalogue.QUERIES["split_children"](spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append((r.i, r.piece))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        got = [p for _, p in sorted(pieces.get(r.doc_id, []))]
+        assert got == split_text(r.text or "", 256, 32) and all(len(p) <= 256 for p in got)
+
+
 # ---------------------------------------------------------------- retrieval
 
 

@@ -49,14 +49,19 @@ def durable(df: DataFrame, parts_by: int = 0) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(at)
     out.kelpie_path = at  # type: ignore[attr-defined]
     del df
-    global _collected
     if time.monotonic() - _collected > PAUSE:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _collected = time.monotonic()
+        tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing needs any more; after a large one it is worth a call of its own."""
+    global _collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _collected = time.monotonic()
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes what durable() wrote, when nothing reads it any more; anything else is left alone."""
     at = getattr(df, "kelpie_path", None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.llm import bpe, langid, minhash, packing, pii, rules, shards, simhash, suffix, warc
-from kelpie.llm.common import durable, read
+from kelpie.llm.common import durable, read, tidy
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_within: for ids divisible by 20, the texts whose fingerprints differ in simhash.RADIUS of 256 bits at most."""
     out = durable(simhash.edited(read(spark, sf_dir, "documents")))
+    tidy(spark)  # the texts that were dealt by ranges
     asked = out.where("key % 20 = 0")
     near = simhash.search(out.select(*simhash.PARTS), asked)
     near = asked.select("key", *simhash.PARTS).distinct().join(near, list(simhash.PARTS)).groupBy("key").agg(F.max("n_within").alias("n_within"))

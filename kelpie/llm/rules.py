@@ -160,11 +160,11 @@ def base_failed(stats: str = "s", least_words: int = 50, repeated: int = 50) ->
 def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """(row, s, base_failed, rule, kept): the columns of docs as a struct, the statistics, the number of the rule that rejects it (or 0), and the verdict."""
     out = measured(docs, text).withColumn("base_failed", base_failed()).withColumn("rule", decide(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    # a filter would be moved below the statistics, and each use of a statistic would be written out in it; a generator stays between
+    return out.select(F.explode(F.array(F.struct("row", "s", "base_failed", "rule", "kept"))).alias("x")).select("x.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that neither the base rule nor a learned rule rejects, with docs' columns, whatever their names."""
-    out = judged(docs, learn(docs, labels))
-    # a filter would be moved below the statistics, and each use of a statistic would be written out in it; a generator stays above
-    return out.select("row", F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("one")).select("row.*")
+    return judged(docs, learn(docs, labels)).where("kept").select("row.*")

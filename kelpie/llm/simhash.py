@@ -109,7 +109,8 @@ def matches(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFra
     meets = F.lit(None).cast("int")  # the first block with one different bit at most
     for b, (p, first, n) in reversed(list(enumerate(cuts))):
         meets = F.when(F.bit_count(_block(apart[p], first, n)) <= 1, b).otherwise(meets)
-    both = tables.join(probes, ["b", "v"]).where(bits <= radius).where(meets == F.col("b"))
+    # the size of either side is guessed from before its rows were multiplied, so a broadcast could be far larger than thought
+    both = tables.join(probes.hint("merge"), ["b", "v"]).where(bits <= radius).where(meets == F.col("b"))
     return both.select(*asks, *PARTS, "n", bits.cast("long").alias("bits"))
 
 

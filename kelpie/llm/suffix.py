@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix
+from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix, tidy
 
 #: Documents of one collection, unless one core alone has more.
 COLLECTION = 1 << 15
@@ -408,6 +408,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     both = rows.alias("r").join(need.alias("n"), F.col("r.key").eqNullSafe(F.col("n.key")) & (F.col("r.th") == F.col("n.th")))
     dealt = durable(both.select("n.a", "r.text").mapInArrow(lean(cut), "c1 long, c2 long, item long, symbols binary, fine boolean"))
     discard(crowded)
+    tidy(docs.sparkSession)
     build = lambda df: df.repartition("c1").sortWithinPartitions("c1", "c2").mapInArrow(lean(_collections), "item long, hits long")
     # a text that stands twice in documents brings its pieces twice: as equal items they are one
     found = build(dealt.where("not fine").select("c1", "c2", "item", "symbols"))

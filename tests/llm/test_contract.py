@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kelpie.llm import bpe, queries, simhash
+from kelpie.llm.common import durable
 
 from . import test_minhash, test_pii, test_rules, test_suffix
 from .helpers import SF
@@ -156,8 +157,7 @@ def test_pipeline(spark, docs):
     at = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, SF)
-        at = spark.createDataFrame(at.collect(), at.schema)
+        at = durable(stage(spark, at, SF))
         kept[name] = {r.doc_id: r.text for r in at.collect()}
     verdict = {r["doc_id"] for r in queries.QUERIES["op8_rules"](spark, SF).where("kept").collect()}
     assert kept["quality rules"] == {k: docs[k] for k in verdict}

@@ -435,3 +435,67 @@ def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers that go on from one search of a conversation to the next."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.floor(F.col("turn") / 3).alias("search"), F.col("turn").alias("rank"))
     return answer.number_citations(c).select(F.col("query_id").alias("conv_id"), F.col("rank").alias("turn"), F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- resumed builds, agent rounds, models
+
+
+@query("""SELECT s_suppkey::VARCHAR AS chunk_id, 1::BIGINT AS times, s_name || ' --[PART_OF]--> ' || n_name AS triple FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def resumed_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over a folder of chunk files: the second has new files beside the old ones, and a chunk that was done before; each chunk is done once."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    names = {"chunk_id": F.col("s_suppkey").cast("string"), "source_file": F.lit("f"), "text": F.concat_ws("@", "s_name", "n_name"), "content_level": F.lit("child")}
+    kinds = spark.createDataFrame([], schemas.CHUNKS).schema
+    chunks = s.select("s_suppkey", *[(names[f.name] if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    at = shared_folder(spark)
+    for part in (chunks.where("s_suppkey % 3 <> 0"), chunks.where("s_suppkey % 3 = 0 OR s_suppkey % 5 = 0")):
+        part.drop("s_suppkey").write.mode("append").parquet(f"{at}/in")
+        incremental.run_increment(spark, f"{at}/in", f"{at}/store", _stub, f"{at}/stream")
+    done = incremental.read_table(spark, f"{at}/store/progress", incremental.PROGRESS).groupBy("chunk_id").agg(F.count("*").alias("times"))
+    kind = "chunk_id string, source string, relation string, target string"
+    found = incremental.read_table(spark, f"{at}/store/relations", kind).select("chunk_id", T.triple_text(F.col("source"), F.col("relation"), F.col("target")).alias("triple"))
+    return done.join(found, "chunk_id")
+
+
+def _agent(messages: list[dict]) -> str:
+    """Looks for passages, then for relations, then ends with what it saw."""
+    seen = [m["content"] for m in messages if m["content"].startswith("Observation:")]
+    question = messages[1]["content"].split("Question: ", 1)[1].split("\n", 1)[0]
+    if len(seen) == 0:
+        return f"Thought: look\nAction: vector_search\nAction Input: {question}"
+    if len(seen) == 1:
+        return f"Thought: relate\nAction: graph_search\nAction Input: {question.split()[-1]}"
+    return f"Thought: done\nAction: finish\nAction Input: {sum(x.count('(score=') for x in seen)} passages, {sum(x.count('[KG] ') for x in seen)} relations"
+
+
+@query(f"""WITH {C._GRAPH}, {C._BOTH}, start AS (SELECT r_regionkey AS query_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY name, node_id) AS k FROM region JOIN nodes ON contains(lower(name), lower(r_name))) WHERE k <= 5)
+SELECT r_regionkey AS query_id, '3 passages, ' || least(5, count(DISTINCT e.src_id || e.rel_type || e.dst_id)) || ' relations' AS answer, 3 AS iterations, 3 AS passages FROM region JOIN start ON query_id = r_regionkey JOIN edges e ON e.dst_id = node_id OR e.src_id = node_id
+WHERE NOT contains(r_name, ' ') GROUP BY r_regionkey""")
+def agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """An agent asked about regions of one word: passages, then relations (five different ones a term), then its answer in the third round."""
+    nodes, edges = C.written_graph(spark, sf)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_file"), F.lit(1).alias("page_number"), F.substring("text", 1, 400).alias("text"))
+    q = table(spark, sf, "region").where("NOT contains(r_name, ' ')").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("What is in "), "r_name").alias("query"))
+    from kelpie.operators.dense import embed
+
+    out = answer.run_agent(q, d, cut(embed(d)), nodes, edges, _agent)
+    return out.select("query_id", "answer", "iterations", F.size("source_pages").alias("passages"))
+
+
+@query("SELECT doc_id, 384 AS width, 1.0::DOUBLE AS norm FROM documents WHERE length(trim(text)) > 3")
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of all documents by the offline embedder: width and length."""
+    from kelpie.operators.dense import dot, embed
+
+    v = embed(table(spark, sf, "documents").where("length(trim(text)) > 3").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return v.select(F.col("chunk_id").alias("doc_id"), F.size("embedding").alias("width"), F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 3).alias("norm"))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS n FROM part WHERE length(p_name) > 3)
+SELECT p_partkey, 0.92::DOUBLE AS plural, 1.0::DOUBLE AS same, 0.0::DOUBLE AS apart FROM p""")
+def name_likeness(spark: SparkSession, sf: str) -> DataFrame:
+    """Likeness of part names to their plural, to themselves in capitals, and to a name that shares no letter."""
+    from kelpie.functions.udf import similarity
+
+    p = table(spark, sf, "part").where("length(p_name) > 3").select("p_partkey", F.lower("p_name").alias("n"))
+    return p.select("p_partkey", similarity("n", F.concat("n", F.lit("s"))).alias("plural"), similarity("n", F.upper("n")).alias("same"), similarity("n", F.lit("0123456789")).alias("apart"))

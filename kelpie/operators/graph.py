@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.config import DEFAULT, Settings
-from kelpie.functions.text import edge_label, entity_type, is_protected, node_label, query_terms, relation_type, strip, term_class, tolerant_json, valid_name, valid_relation
+from kelpie.functions.text import clean_json, edge_label, entity_type, is_protected, node_label, query_terms, relation_type, strip, term_class, tolerant_json, valid_name, valid_relation
 from kelpie.operators.durable import cut
 
 # ---------------------------------------------------------------- validation
@@ -74,6 +74,32 @@ def validate_extractions(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return entities, relations, report.withColumn("needs_retry", retry)
 
 
+def lenient(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities(chunk_id, pos, name, label), relations(chunk_id, pos, source, relation, target)) of raw answers, without an ontology.
+
+    For trying prompts out: an entity may be a bare string (label Entity), labels are the type's words in capitals, nothing is deduplicated.
+    An answer that is no JSON object as it stands (code fences aside) gives nothing, nor does a name that is no text.
+    """
+    v = raw.withColumn("v", F.try_parse_json(clean_json(F.col("raw")))).where(F.expr("schema_of_variant(v)").startswith("OBJECT"))
+    items = lambda name: v.select("chunk_id", F.posexplode(F.expr(f"try_variant_get(v, '$.{name}', 'array<variant>')")).alias("pos", "x"))
+    text = lambda f: F.expr(f"CASE WHEN schema_of_variant(try_variant_get(x, '$.{f}', 'variant')) = 'STRING' THEN try_variant_get(x, '$.{f}', 'string') END")
+    bare = F.expr("CASE WHEN schema_of_variant(x) = 'STRING' THEN variant_get(x, '$', 'string') END")
+    # a letter behind anything but a letter is a capital
+    words = F.initcap(F.regexp_replace(strip(F.coalesce(text("type"), F.lit("Entity"))), r"([^\p{L}])", "$1 "))
+    label = F.coalesce(F.nullif(F.regexp_replace(words, "[^A-Za-z0-9]", ""), F.lit("")), F.lit("Entity"))
+    entities = items("entities").select("chunk_id", "pos", strip(F.coalesce(bare, F.nullif(text("name"), F.lit("")))).alias("name"), F.when(bare.isNotNull(), "Entity").otherwise(label).alias("label"), bare.isNotNull().alias("bare"))
+    entities = entities.where("name IS NOT NULL AND (name <> '' OR NOT bare)").drop("bare")
+    relations = items("relations").where((text("source") != "") & (text("target") != ""))
+    return entities, relations.select("chunk_id", "pos", strip(text("source")).alias("source"), edge_label(F.coalesce(text("relation"), F.lit(""))).alias("relation"), strip(text("target")).alias("target"))
+
+
+def drawing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line): the graph in the DOT language, a line a node and a line an edge; wrap them in `digraph { ... }`."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    node = nodes.select(F.concat(quoted("node_id"), F.lit(" [label="), quoted("name"), F.lit("]")).alias("line"))
+    return node.unionByName(edges.select(F.concat(quoted("src_id"), F.lit(" -> "), quoted("dst_id"), F.lit(" [label="), quoted("rel_type"), F.lit("]")).alias("line")))
+
+
 # ---------------------------------------------------------------- upserts
 
 

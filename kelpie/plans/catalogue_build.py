@@ -499,3 +499,18 @@ def name_likeness(spark: SparkSession, sf: str) -> DataFrame:
 
     p = table(spark, sf, "part").where("length(p_name) > 3").select("p_partkey", F.lower("p_name").alias("n"))
     return p.select("p_partkey", similarity("n", F.concat("n", F.lit("s"))).alias("plural"), similarity("n", F.upper("n")).alias("same"), similarity("n", F.lit("0123456789")).alias("apart"))
+
+
+@query("""WITH s AS (SELECT s_suppkey::VARCHAR AS chunk_id, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE (length(s_name) + s_nationkey) % 7 NOT IN (0, 2, 3))
+SELECT chunk_id, 'entity' AS what, s_name AS a, 'Ic' AS b, '' AS c FROM s UNION ALL SELECT chunk_id, 'entity', lower(s_name), 'Pin', '' FROM s UNION ALL SELECT chunk_id, 'entity', 'the', 'Pin', '' FROM s
+UNION ALL SELECT chunk_id, 'entity', n_name, 'StrangeBoard', '' FROM s UNION ALL SELECT chunk_id, 'entity', 'text', 'Entity', '' FROM s UNION ALL SELECT chunk_id, 'relation', s_name, 'IS_A', n_name FROM s
+UNION ALL SELECT chunk_id, 'relation', n_name, 'X', lower(n_name) FROM s UNION ALL SELECT chunk_id, 'relation', lower(s_name), 'IS_AN', lower(n_name) FROM s""")
+def lenient_parse(spark: SparkSession, sf: str) -> DataFrame:
+    e, r = graph.lenient(C.raw_answers(spark, sf))
+    out = e.select("chunk_id", F.lit("entity").alias("what"), F.col("name").alias("a"), F.col("label").alias("b"), F.lit("").alias("c"))
+    return out.unionByName(r.select("chunk_id", F.lit("relation").alias("what"), F.col("source").alias("a"), F.col("relation").alias("b"), F.col("target").alias("c")))
+
+
+@query(f"""WITH {C._GRAPH} SELECT '"' || node_id || '" [label="' || name || '"]' AS line FROM nodes UNION ALL SELECT '"' || src_id || '" -> "' || dst_id || '" [label="' || rel_type || '"]' FROM edges""")
+def graph_drawing(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.drawing(*C.written_graph(spark, sf))

@@ -20,6 +20,8 @@ from kelpie.llm.common import discard, durable
 
 HOT = 1000
 SALTS = 64
+#: Rows that one task numbers, on the average, in large tables.
+BUCKET = 50_000
 _MOST = float(1 << 62)
 
 
@@ -142,9 +144,10 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     start = rows.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label"))
     several = durable(tied.groupBy("hub").agg(F.count("node").alias("c")).where("c > 1"))  # written, so that the join can split hot hubs
     linked = durable(tied.join(several, "hub").select("node").distinct())
-    moved = propagate(start.join(linked, "node"), tied, shards, rows.count() / shards)
+    total = rows.count()
+    moved = propagate(start.join(linked, "node"), tied, shards, total / shards)
     alone = start.join(linked, "node", "left_anti")
     nodes = durable(moved.select("node", "label", F.lit(True).alias("linked")).unionByName(alone.withColumn("linked", F.lit(False))))
-    placed = even(nodes, shards, 64)
+    placed = even(nodes, shards, max(64, total // (shards * BUCKET)))
     out = rows.join(placed, "node")
     return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import blocks, column_bytes, discard, durable, lean, mix, tidy
 
 #: Documents of one collection, unless one core alone has more.
-COLLECTION = 1 << 15
+COLLECTION = 1 << 14
 #: Window starts of a class; and of a class of an anchor with more different segments than HOT (or a 500th of all, if that is more).
 STEPS, FINE, HOT, HOTTEST = 31, 8, 1000, 200_000
 #: Columns inserted between a reading and a writing of the files.
@@ -250,8 +250,11 @@ def collection(symbols: np.ndarray, core: np.ndarray, files: Files, per_pass: in
     size, place = m, np.arange(m)
     for high in range(2 * width, -1, -per_pass):
         before, prefix = files.get(files.transform, size), files.get(files.prefixes, size)
-        for j in range(high, max(-1, high - per_pass), -1):
-            s = np.full(m, CORE, np.uint8) if j == width else files.get(files.columns, m, (j if j < width else j - 1) * m)
+        low = max(0, high - per_pass + 1)
+        start, stop = low - (low > width), high + (high < width)  # the core has no column in the file
+        columns = files.get(files.columns, (stop - start) * m, start * m).reshape(-1, m)
+        for j in range(high, low - 1, -1):
+            s = np.full(m, CORE, np.uint8) if j == width else columns[j - (j > width) - start]
             docs = np.flatnonzero(s)
             if not len(docs):
                 continue

@@ -154,10 +154,12 @@ def test_op10(docs, run):
 
 def test_pipeline(spark, docs):
     """Each stage against brute force on what the stage before it kept; rules and added spans as learned."""
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "repeated passages", "personal data", "packing"]
     at = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
+    columns, kept = at.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = durable(stage(spark, at, SF))
+        assert at.columns == columns
         kept[name] = {r.doc_id: r.text for r in at.collect()}
     verdict = {r["doc_id"] for r in queries.QUERIES["op8_rules"](spark, SF).where("kept").collect()}
     assert kept["quality rules"] == {k: docs[k] for k in verdict}

@@ -104,7 +104,7 @@ def test_remove_and_long_texts(spark):
     rows = df.select(df.doc_id.alias("key"), df.n_chars.cast("long").alias("th"), "text").where("text is not null")
     whole, parts = (sorted(tuple(r) for r in suffix.anchor_table(rows, 200, 50, chunk).collect()) for chunk in (1 << 22, 700))
     assert whole == parts and len(whole) > 20
-    assert sorted(map(tuple, suffix.digest(df).collect())) == sorted(map(tuple, suffix.digest(df, chunk=700).collect()))
+    assert {r.doc_id: r.text for r in suffix.remove(df, chunk=700).collect()} == out
 
 
 def test_hot_anchors_by_finer_classes(spark):
@@ -117,8 +117,7 @@ def test_hot_anchors_by_finer_classes(spark):
     df = frame(spark, texts, extra=False)
     raw, gone = brute([*texts, *texts[:2]])
     want = sorted((d % len(texts), int(g.sum())) for d, g in enumerate(gone))
-    for hot in (1000, 1):
-        assert sorted((r.doc_id, r.n_removed) for r in suffix.digest(df, hot=hot).collect()) == want
+    assert sorted((r.doc_id, r.n_removed) for r in suffix.digest(df, hot=1).collect()) == want
 
 
 def test_clashing_names(spark):

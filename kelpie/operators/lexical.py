@@ -33,10 +33,17 @@ def build_bm25(chunks: DataFrame, s: Settings = DEFAULT, text: str = "text", ord
 
     idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean. Chunks without terms count in N and the mean length.
     """
+    return _weighted(*_counted(chunks, text, order), s)
+
+
+def _counted(chunks: DataFrame, text: str, order: Column | None) -> tuple[DataFrame, DataFrame]:
     t = chunks.select("chunk_id", (F.col("chunk_id") if order is None else order).alias("ord"), lexical_tokens(F.col(text)).alias("t"))
     docs = t.select("chunk_id", "ord", F.size("t").alias("dl"), "t")
     postings = docs.select("chunk_id", "ord", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return postings, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def _weighted(postings: DataFrame, corpus: DataFrame, s: Settings) -> LexicalIndex:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # corpus is one row
     stats = raw.agg(F.avg("raw").alias("avg_idf")).crossJoin(corpus).select("n", "avgdl", "avg_idf")
@@ -44,6 +51,18 @@ def build_bm25(chunks: DataFrame, s: Settings = DEFAULT, text: str = "text", ord
     return LexicalIndex(postings, terms, stats)
 
 
+def store_bm25(chunks: DataFrame, path: str, s: Settings = DEFAULT, text: str = "text", order: Column | None = None) -> LexicalIndex:
+    """The index of build_bm25(), written under path and read again; weights come from the written postings, so texts are gone through twice only."""
+    spark = chunks.sparkSession
+    postings, corpus = _counted(chunks, text, order)
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    one = spark.createDataFrame([tuple(corpus.first())], corpus.schema)
+    index = _weighted(spark.read.parquet(f"{path}/postings"), one, s)
+    for name in ("terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return LexicalIndex.load(spark, path)
+
+
 def bm25_scores(index: LexicalIndex, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(query_id, chunk_id, ord, score) of every chunk with a query term; repeated query terms count again.
 

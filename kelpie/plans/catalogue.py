@@ -55,9 +55,7 @@ def doc_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     """The lexical index of documents, written once and then read by whatever searches it."""
-    at = shared_folder(spark)
-    lexical.build_bm25(chunks(spark, sf)).save(at)
-    return lexical.LexicalIndex.load(spark, at)
+    return lexical.store_bm25(chunks(spark, sf), shared_folder(spark))
 
 
 # ---------------------------------------------------------------- lexical and dense

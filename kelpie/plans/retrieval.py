@@ -43,7 +43,7 @@ def ingest(spark: SparkSession, folder: str, store: str, encode: Callable | None
 def build_index(spark: SparkSession, store: str, encode: Callable | None = None, s: Settings = DEFAULT) -> Engine:
     children = files.load_chunks(spark, f"{store}/chunks", "child")
     files.save(dense.embed(children, encode), f"{store}/vectors")
-    lexical.build_bm25(children, s).save(f"{store}/lexical")
+    lexical.store_bm25(children, f"{store}/lexical", s)
     return load(spark, store, encode, s)
 
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpie import schemas, vocab
@@ -14,6 +15,7 @@ from kelpie.functions import text as T
 from kelpie.plans import catalogue
 from kelpie.functions.udf import hashed_embedding, name_similarity, similarity, split_text
 from kelpie.operators import answer, dense, evaluate, fusion, graph, layout, lexical, resolve, sections
+from kelpie.operators.durable import shared_folder
 from kelpie.plans import retrieval
 from kelpie.sources import files
 from kelpie.streaming import incremental
@@ -286,6 +288,32 @@ def test_bm25_by_hand(spark):
     assert lexical.bm25_search(lexical.build_bm25(chunks.limit(0)), spark.createDataFrame([(0, "red")], "query_id int, query string")).count() == 0
 
 
+def test_bm25_blocks_against_all_scores(spark, monkeypatch):
+    """Chunks and queries over many blocks, with many equal texts: the best of all scores, and neither postings nor pairs are shuffled."""
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(300)]
+    text = lambda: " ".join(words[int(300 * rnd.random() ** 3)] for _ in range(rnd.randint(0, 60)))
+    texts = [text() for _ in range(400)]
+    texts = [x if i % 3 else texts[7] for i, x in enumerate(texts)] + [None, "", "only here"] + ["rep " * 300]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(5)
+    queries = chunks.where("chunk_id % 9 = 0").select(F.col("chunk_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    for name, value in {"BLOCK_ROWS": 40, "BLOCK_TOKENS": 900, "QUERY_BLOCK": 7, "CELLS": 200}.items():
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.store_bm25(chunks, shared_folder(spark))
+    assert index.blocks.count() > 10
+    flat = {(r.chunk_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert flat == {(i, t): (x.split().count(t), len(x.split())) for i, x in enumerate(texts) if x for t in set(x.split())}
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord")
+    best = lexical.bm25_scores(index, queries).withColumn("best", F.max("score").over(Window.partitionBy("query_id"))).withColumn("rank", F.row_number().over(w)).where("rank <= 6 and score > 0")
+    want = {(r.query_id, r.rank): (r.chunk_id, pytest.approx(r.score / r.best)) for r in best.collect()}
+    out = lexical.bm25_search(index, queries, 6)
+    assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in out.collect()} == want and len(want) > 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # scores are not summed up pair by pair
+
+
 def test_vector_search_ties_nulls_and_blocks(spark):
     v = spark.createDataFrame([(k, [1.0, 0.0] if k < 5 else [0.0, 1.0]) for k in range(9)] + [(99, None)], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(3)] + [(7, None)], "query_id long, embedding array<float>")

@@ -314,6 +314,13 @@ def test_bm25_blocks_against_all_scores(spark, monkeypatch):
     assert "Aggregate" not in plan  # scores are not summed up pair by pair
 
 
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_searches_keep_the_best_of_blocks(spark, name):
+    """No plan of a search adds up scores by query and chunk after a shuffle."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(part" not in plan and "q_times" in plan
+
+
 def test_vector_search_ties_nulls_and_blocks(spark):
     v = spark.createDataFrame([(k, [1.0, 0.0] if k < 5 else [0.0, 1.0]) for k in range(9)] + [(99, None)], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(3)] + [(7, None)], "query_id long, embedding array<float>")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kelpie import schemas, vocab
 from kelpie.config import DEFAULT, Settings
 from kelpie.functions import text as T
-from kelpie.plans import catalogue
+from kelpie.plans import catalogue, catalogue_build  # noqa: F401  the second one adds its queries to the first
 from kelpie.functions.udf import hashed_embedding, name_similarity, similarity, split_text
 from kelpie.operators import answer, dense, evaluate, fusion, graph, layout, lexical, resolve, sections
 from kelpie.operators.durable import shared_folder
@@ -314,7 +314,7 @@ def test_bm25_blocks_against_all_scores(spark, monkeypatch):
     assert "Aggregate" not in plan  # scores are not summed up pair by pair
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "graph_fusion"])
 def test_searches_keep_the_best_of_blocks(spark, name):
     """No plan of a search adds up scores by query and chunk after a shuffle."""
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -305,6 +305,14 @@ def collection(symbols: np.ndarray, core: np.ndarray, files: Files, per_pass: in
         files.put(files.prefixes, prefix)
 
 
+def whole_windows(symbols: np.ndarray) -> np.ndarray:
+    """As bits, the distances d from which a window (d symbols before its core) lies in the text: near an end of it not all do."""
+    width = symbols.shape[1] // 2
+    before, behind = (symbols[:, :width] != NONE).sum(1), (symbols[:, width:] != NONE).sum(1)
+    d = np.arange(width + 1)
+    return (((d <= before[:, None]) & (width - d <= behind[:, None])).astype(np.int64) << d).sum(1)
+
+
 def repeated_windows(symbols: np.ndarray, core: np.ndarray, files: Files) -> np.ndarray:
     """For each document the set of distances d, as bits, from which a window (d symbols before its core) has an equal one."""
     width = symbols.shape[1] // 2
@@ -393,7 +401,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     need = kinds.join(crowded, "anchor", "left").groupBy("key", "th").agg(F.collect_list(F.struct("id", "pos", F.coalesce("fine", F.lit(False)).alias("fine"))).alias("a"))
 
     def cut(batches):
-        names = ["c1", "c2", "item", "symbols", "fine"]
+        names = ["c1", "c2", "item", "symbols", "fine", "windows"]
         for b in batches:
             raw, at = column_bytes(b.column(1))
             lists = b.column(0)
@@ -406,20 +414,19 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
                     flat = np.ascontiguousarray(symbols)
                     offsets = np.arange(len(flat) + 1, dtype=np.int32) * np.int32(flat.shape[1])
                     core = core.view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(core[:, 0]), pa.array(core[:, 1]), pa.array(ids[x][i] * 4096 + first), pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]), pa.array(np.full(len(flat), slow))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(core[:, 0]), pa.array(core[:, 1]), pa.array(ids[x][i] * 4096 + first), pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]), pa.array(np.full(len(flat), slow)), pa.array(whole_windows(flat) if slow else np.zeros(len(flat), np.int64))], names=names)
 
     both = rows.alias("r").join(need.alias("n"), F.col("r.key").eqNullSafe(F.col("n.key")) & (F.col("r.th") == F.col("n.th")))
-    dealt = durable(both.select("n.a", "r.text").mapInArrow(lean(cut), "c1 long, c2 long, item long, symbols binary, fine boolean"))
+    dealt = durable(both.select("n.a", "r.text").mapInArrow(lean(cut), "c1 long, c2 long, item long, symbols binary, fine boolean, windows long"))
     discard(crowded)
     tidy(docs.sparkSession)
     build = lambda df: df.repartition("c1").sortWithinPartitions("c1", "c2").mapInArrow(lean(_collections), "item long, hits long")
     # a text that stands twice in documents brings its pieces twice: as equal items they are one
     found = build(dealt.where("not fine").select("c1", "c2", "item", "symbols"))
-    # pieces of hot anchors: equal ones become one with a count first, and if it is over 1 the whole class is repeated
+    # pieces of hot anchors: equal ones become one with a count first, and if it is over 1 all windows of the class that lie in the text are repeated
     fine = dealt.where("fine")
     alike = durable(fine.groupBy("c1", "c2", "symbols").agg(F.min("item").alias("item"), F.countDistinct("item").alias("n")))
-    full = F.lit((1 << min(FINE, least - gram + 1)) - 1).cast("long")
-    again = fine.join(durable(alike.where("n > 1").select("c1", "c2", "symbols")), ["c1", "c2", "symbols"], "left_semi").select("item", full.alias("hits"))
+    again = fine.join(durable(alike.where("n > 1").select("c1", "c2", "symbols")), ["c1", "c2", "symbols"], "left_semi").where("windows <> 0").select("item", F.col("windows").alias("hits"))
     found = durable(found.unionByName(build(alike.select("c1", "c2", "item", "symbols"))).unionByName(again).select(F.shiftright("item", 12).alias("id"), F.expr("item & 4095").alias("first"), "hits"))
     discard(dealt)
     discard(alike)

@@ -120,6 +120,20 @@ def test_hot_anchors_by_finer_classes(spark):
     assert sorted((r.doc_id, r.n_removed) for r in suffix.digest(df, hot=1).collect()) == want
 
 
+def test_equal_pieces_at_the_ends_of_texts(spark):
+    """A crowded anchor near the end or the beginning of texts: classes reach beyond them, windows don't."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(420)
+    texts = [text(rng.randrange(60, 150)) + shared[:n] for n in (212, 212, 233, 233, 233, 260)] + [shared[420 - n :] + text(rng.randrange(60, 150)) for n in (207, 207, 231, 231, 254)]
+    texts += [shared[a:b] + x for a, b in ((0, 211), (50, 263)) for x in ("", "", "z")]
+    df = frame(spark, texts, extra=False)
+    rows = [*texts, *texts[:2]]
+    raw, gone = brute(rows)
+    want = sorted((d % len(texts), len(r), int(g.sum()), hashlib.sha256(np.frombuffer(r, np.uint8)[~g].tobytes()).hexdigest()) for d, (r, g) in enumerate(zip(raw, gone)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.digest(df, hot=1).collect()) == want
+
+
 def test_clashing_names(spark):
     df = frame(spark, ["x" * 500, None, "y"], extra=False).withColumnsRenamed({"lang": "th", "source": "_th", "n_chars": "xs"})
     out = suffix.remove(df)

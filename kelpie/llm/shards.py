@@ -22,6 +22,8 @@ HOT = 1000
 SALTS = 64
 #: Rows that one task numbers, on the average, in large tables.
 BUCKET = 50_000
+#: Nodes for each task that writes a table of a round; small tables are cut into few files, so joins with them need no exchange.
+TASK = 20_000
 _MOST = float(1 << 62)
 
 
@@ -39,16 +41,17 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, gain
     hubs = links.groupBy("hub").agg(F.count("node").alias("size")).where("size > 1")
     total = nodes.count()
     least = max(1000, total // HOT)
-    hubs = durable(hubs)
+    parts = max(8, total // TASK)
+    hubs = durable(hubs, parts)
     hot = hubs.where(F.col("size") >= least)  # HOT rows at most, as sizes add up to the number of links
     tied = links.join(hubs.select("hub"), "hub").join(F.broadcast(hot.select("hub", F.lit(SALTS).alias("salts"))), "hub", "left")
-    tied = durable(tied.select("node", "hub", F.coalesce(F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts")))
-    nodes = durable(nodes)
+    tied = durable(tied.select("node", "hub", F.coalesce(F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")), F.lit(0)).cast("int").alias("salt"), F.coalesce("salts", F.lit(1)).alias("salts")), parts)
+    nodes = durable(nodes, parts)
     pairs = lambda n: F.coalesce(F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2), F.lit(0.0))
     every, most_together, stale, k = hubs.agg(pairs("size")).first()[0], -1.0, 0, 0
     discard(hubs)
     while True:
-        counts = durable(tied.join(nodes, "node").groupBy("hub", "salts", "label").agg(F.count("node").alias("c")))
+        counts = durable(tied.join(nodes, "node").groupBy("hub", "salts", "label").agg(F.count("node").alias("c")), parts)
         together = counts.agg(pairs("c")).first()[0]
         if together > most_together + gain * every or most_together < 0:
             most_together, stale = together, 0
@@ -67,7 +70,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, gain
             closed = [s for s in range(shards) if sizes.get(s, 0) >= most * 0.99]
             votes = votes.join(nodes, "node").where(~F.col("x.to").isin(closed) | (F.col("x.to") == F.col("label"))).select("node", "x")
         best = votes.groupBy("node", "x.to").agg(F.sum("x.w").alias("w")).groupBy("node").agg(F.max_by("to", "w").alias("to"))
-        moves = durable(best.join(nodes, "node").where("to <> label").select("node", "label", "to"))
+        moves = durable(best.join(nodes, "node").where("to <> label").select("node", "label", "to"), parts)
         asked = {(r.label, r.to): r.n for r in moves.groupBy("label", "to").agg(F.count("node").alias("n")).collect()}
         let = quotas(asked, sizes, shards, most)
         k += 1
@@ -77,7 +80,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, most: float, gain
             continue
         table = nodes.sparkSession.createDataFrame([(a, b, float(p)) for (a, b), p in let.items()], "label int, to int, p double")
         gone = moves.join(F.broadcast(table), ["label", "to"]).where(_share("node", F.lit(99 + k)) < F.col("p")).select("node", F.col("to").alias("new"))
-        now = durable(nodes.join(gone, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        now = durable(nodes.join(gone, "node", "left").select("node", F.coalesce("new", "label").alias("label")), parts)
         for x in (moves, counts, nodes):
             discard(x)
         nodes = now

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from kelpie.llm import shards
+from kelpie.llm.common import durable
 
 from .helpers import frame
 
@@ -59,3 +60,24 @@ def test_odd_rows(spark):
     assert out.where("doc_id = 0").select("size", "text_crc32").distinct().collect() == [(8, 0)]
     assert shards.shard_documents(df.limit(0)).count() == 0
     assert shards.shard_documents(df.withColumn("doc_id", F.lit(None).cast("long"))).count() == df.count()
+
+
+def test_small_tables_of_rounds_lie_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions a round of few nodes must not write (and read again) a file for each partition."""
+    files = []
+
+    def counted(df, *more):
+        files.append(len((out := durable(df, *more)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(shards, "durable", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes = spark.range(600).select(F.col("id").alias("node"), F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("label"))
+        out = shards.propagate(nodes.repartition(40, "node"), nodes.select("node", F.floor(F.col("node") / 10).alias("hub")), 4, 150)
+        assert out.count() == 600 and len(files) > 4 and max(files) <= 8
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

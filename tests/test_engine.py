@@ -361,6 +361,17 @@ def test_graph_list_holds_every_candidate(spark):
     assert got["b"].score == pytest.approx(1 / 62 + 0.5 / 63) and got["c"].score == pytest.approx(1 / 61 + 0.5 / 61)
 
 
+def test_graph_list_sorts_no_texts(spark):
+    """Candidates are the hashed side of the join with the texts of all chunks, which is neither sorted nor broadcast."""
+    chunks = spark.range(1000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("valve "), "id").alias("text"))
+    cands = spark.createDataFrame([(0, 5), (0, 7), (1, 5), (1, 2000)], "query_id int, chunk_id long")
+    t = spark.createDataFrame([(0, "Valve", "5"), (1, "x", "y")], "query_id int, source string, target string")
+    out = fusion.graph_hits(cands, t, chunks)
+    assert sorted((r.query_id, r.chunk_id, r.hits) for r in out.collect()) == [(0, 5, 2), (0, 7, 1), (1, 5, 0), (1, 2000, 0)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [chunk_id" in plan and "BuildLeft" in plan
+
+
 # ---------------------------------------------------------------- answers, agent, evaluation, resuming
 
 

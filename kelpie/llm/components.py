@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.common import discard, durable
 
+#: Links for each task that writes a table of a round; small tables are cut into few files, so joins with them need no exchange.
+TASK = 50_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): each node of links(a, b) with the smallest node it reaches.
@@ -21,16 +24,16 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = tuple(e.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
-            out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()))
+            out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct()), parts)
             discard(e)
             return out
-        state = now
+        state, parts = now, max(8, now[0] // TASK)
         both = e.union(e.select("v", "u"))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         out = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small)
-        new = durable(out.distinct())
+        new = durable(out.distinct(), parts)
         for x in (e, least):
             discard(x)
         e = new

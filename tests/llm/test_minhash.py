@@ -87,3 +87,27 @@ def test_keep_one_of_repeated_and_null_keys(spark):
     rows = [(1, long), (1, "another text of some words here"), (1, "another text of some words here"), (None, long + " end"), (None, "alone with a null key so far"), (None, "alone with a null key so far"), (3, "alone with a null key so far"), (None, None), (4, None)]
     out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, long), (1, "another text of some words here"), (3, "alone with a null key so far"), (None, None), (4, None)], key=str)
+
+
+def test_small_tables_of_rounds_lie_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions the rounds over few links must not write a file for each partition."""
+    from kelpie.llm import common, components
+
+    files = []
+
+    def counted(df, *more):
+        files.append(len((out := common.durable(df, *more)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "durable", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.range(300).where("id % 10 <> 9").selectExpr("id AS a", "id + 1 AS b")
+        out = components.components(links).collect()
+        assert sorted((r.node, r.root) for r in out) == [(k, k - k % 10) for k in range(300)]
+        assert len(files) > 3 and max(files[1:]) <= 8  # the first holds the links as they came
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

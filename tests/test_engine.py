@@ -314,6 +314,28 @@ def test_bm25_blocks_against_all_scores(spark, monkeypatch):
     assert "Aggregate" not in plan  # scores are not summed up pair by pair
 
 
+def test_stored_index_is_small_on_disk_and_in_readers(spark, tmp_path, monkeypatch):
+    """Blocks of one partition lie in row groups of their own, compressed by zstd; terms of the blocks are shuffled once."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 50)
+    rng = random.Random(1)
+    rows = [(k, " ".join(f"w{rng.randrange(20000)}" for _ in range(400))) for k in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").coalesce(1)
+    monkeypatch.setattr(lexical, "ROW_GROUP", 2**16, raising=False)
+    store = spark._jsparkSession.sparkContext().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = stages().size()
+    index = lexical.store_bm25(chunks, str(tmp_path / "x"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "x" / "blocks").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == index.blocks.count() >= 4 and all(f.row_group(g).num_rows == 1 for f in files for g in range(f.num_row_groups))
+    assert all(f.row_group(0).column(0).compression == "ZSTD" for f in files)
+    new = [stages().apply(i) for i in range(stages().size() - before)]
+    assert 0 < sum(x.shuffleWriteRecords() for x in new) < 1.5 * sum(len(r.terms) for r in index.blocks.select("terms").collect())
+
+
 @pytest.mark.parametrize("name", ["hybrid_search", "graph_fusion"])
 def test_searches_keep_the_best_of_blocks(spark, name):
     """No plan of a search adds up scores by query and chunk after a shuffle."""
